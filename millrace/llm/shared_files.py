@@ -1,0 +1,32 @@
+"""Files that Python tasks write and read in the cluster's shared folder, by any address that pyarrow knows."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyarrow import fs
+
+
+def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def fresh_file(folder: str, part: int, suffix: str) -> str:
+    """A name that no other attempt of this or another task writes to. Readers go by the manifest of the attempts that count."""
+    return f"{folder}/part-{part:06d}-{uuid.uuid4().hex}{suffix}"
+
+
+def create(uri: str):
+    """An output stream; the folder is made where the store has folders."""
+    system, path = open_fs(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(path, compression=None)
+
+
+def open_random(uri: str):
+    system, path = open_fs(uri)
+    return system.open_input_file(path)
