@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import byte_bpe, jpeg, line_dedup, packing, simhash, token_files
 from millrace.session import table
 
 
@@ -16,9 +16,59 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return done.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = packing.pack(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = token_files.round_trip(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = jpeg.media_features(jpeg.to_media(table(spark, sf_dir, "documents")))
+    return done.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_line_dedup": op2_line_dedup,
+        "op4_byte_bpe": op4_byte_bpe,
+        "op7_packing": op7_packing,
+        "op9_token_files": op9_token_files,
+        "op10_media": op10_media,
+    }
+
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["op2_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), k AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), r AS (
+  SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+)
+SELECT k.doc_id, count(*) AS n_lines, count(r.key) FILTER (WHERE k.doc_id <> r.first_doc) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE r.key IS NULL OR k.doc_id = r.first_doc), '')) AS kept_sha256
+FROM k LEFT JOIN r ON k.key = r.key GROUP BY k.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
