@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, jpeg, line_dedup, packing, secrets, simhash, token_files
+from millrace.llm import byte_bpe, jpeg, line_dedup, packing, quality, secrets, simhash, token_files
 from millrace.session import table
 
 
@@ -26,6 +26,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_line_dedup": op2_line_dedup,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_quality": op5_quality,
         "op6_secrets": op6_secrets,
         "op7_packing": op7_packing,
         "op9_token_files": op9_token_files,
