@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, jpeg, line_dedup, packing, quality, secrets, simhash, token_files
+from millrace.llm import byte_bpe, jpeg, licences, line_dedup, packing, quality, secrets, simhash, token_files, warc
 from millrace.session import table
 
 
@@ -21,6 +21,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
     return done.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
@@ -39,6 +43,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = token_files.round_trip(table(spark, sf_dir, "documents"))
     return done.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
@@ -53,10 +61,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_line_dedup": op2_line_dedup,
+        "op3_warc": op3_warc,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_quality": op5_quality,
         "op6_secrets": op6_secrets,
         "op7_packing": op7_packing,
+        "op8_licences": op8_licences,
         "op9_token_files": op9_token_files,
         "op10_media": op10_media,
     }
@@ -79,6 +89,15 @@ SELECT k.doc_id, count(*) AS n_lines, count(r.key) FILTER (WHERE k.doc_id <> r.f
 FROM k LEFT JOIN r ON k.key = r.key GROUP BY k.doc_id
 """
 
+ORACLES["op3_warc"] = """
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN strlen(html) >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(html) >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first_id FROM pages)
+"""
+
+ORACLES["op8_licences"] = licences.oracle()
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
