@@ -13,6 +13,7 @@ most 65 can, so a star over each name loses no component and no group grows with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,8 +148,127 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` without those near duplicates whose id is not their group's smallest; rows with a null id stay."""
-    groups = near_groups(docs, id_col, text_col, words)
+# --- near copies by similarity ---
+#
+# Two texts of which 0.8 of the five-word shingles agree differ in some 15 % of their shingle fingerprints' bits: too many for
+# small balls around 32-bit segments. Their sets of words differ far less, in some 6 % of the bits. So the index holds
+# fingerprints of word sets, and what it finds is verified on complete fingerprints of five-word shingles.
+
+#: Segments of 32 bits of a word-set fingerprint, each with an index of its own; numbers of 64 bits of a shingle fingerprint.
+SEGMENTS, NUMBERS = 6, 4
+#: Keys with more members are compared with one member at a time, which those that it covers leave.
+CROWD = 8
+
+
+def mixed(hashes: np.ndarray, stream: int) -> np.ndarray:
+    """Further hashes from given ones, by the finaliser of SplitMix64."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15 * stream & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def copy_prints(text: bytes, words: int) -> tuple[list[int], list[int]]:
+    """Segments of the word set's fingerprint, and the numbers of the shingles' fingerprint."""
+    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], np.uint64)
+    segments = []
+    for k in range(SEGMENTS // 2):
+        bits = fingerprint(mixed(own, k + 1)) & (1 << 64) - 1
+        segments += [bits >> 32, bits & LOW]
+    shingles = shingle_hashes(text, words)
+    return segments, [fingerprint(mixed(shingles, SEGMENTS + k)) for k in range(NUMBERS)]
+
+
+def most_bits(similarity: float) -> int:
+    """Bits in which shingle fingerprints may differ: what a Jaccard similarity makes one expect, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * NUMBERS
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def _copy_marks(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [copy_prints(t.as_py() or b"", words) for t in batch.column(1)]
+            lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "segments", "print"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose complete fingerprints differ in ``most`` bits at most, as a written table."""
+    prints = classes.select("c", "print")
+    joined = pairs.join(prints.withColumnRenamed("c", "a").withColumnRenamed("print", "p"), "a").join(prints.withColumnRenamed("c", "b"), "b")
+    apart = sum((F.bit_count(F.get("p", k).bitwiseXOR(F.get("print", k))) for k in range(1, NUMBERS)), F.bit_count(F.get("p", 0).bitwiseXOR(F.get("print", 0))))
+    return written(joined.where(apart <= most).select("a", "b"), "links")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """``(key, c)``: a segment's own value and those with one more bit set. Values at one bit's distance meet once."""
+    masks = F.array(*[F.lit(1 << j).cast("bigint") for j in range(32)])
+    up = lambda v: F.transform(F.filter(masks, lambda m: v.bitwiseAND(m) == 0), lambda m: v.bitwiseOR(m))
+    keys = F.transform("segments", lambda v, s: F.transform(F.concat(F.array(v), up(v)), lambda x: F.shiftleft(s.cast("bigint"), 32).bitwiseOR(x)))
+    return classes.select("c", F.explode(F.flatten(keys)).alias("key"))
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """Pairs within keys of at most CROWD members."""
+    sets = members.groupBy("key").agg(F.array_sort(F.collect_set("c")).alias("all"))
+    pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, CROWD), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return sets.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def copy_links(classes: DataFrame, most: int) -> DataFrame:
+    """Verified links ``(a, b)`` between classes ``(c, segments, print)``.
+
+    A crowded key's members are compared with its least member; those linked to it leave the key, as they are in its group,
+    and the others go on, until no key is crowded. So a key gives pairs in proportion to its members, not to their square.
+    """
+    members = _members(classes)
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = written(members.join(counts, "key").select("key", "c", "n"), "members")
+    links = _verified(_all_pairs(shared.where(F.col("n") <= CROWD)), classes, most)
+    crowd = written(shared.where(F.col("n") > CROWD).select("key", "c"), "crowd")
+    while not crowd.isEmpty():
+        heads = written(crowd.groupBy("key").agg(F.min("c").alias("head")), "heads")
+        others = crowd.join(heads, "key").where(F.col("c") != F.col("head"))
+        linked = _verified(others.select(F.col("head").alias("a"), F.col("c").alias("b")).distinct(), classes, most)
+        links = links.unionByName(linked)
+        rest = others.join(linked, (F.col("head") == F.col("a")) & (F.col("c") == F.col("b")), "left_anti").select("key", "c")
+        rest = written(rest, "crowd")
+        counts = written(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "counts")
+        rest = written(rest.join(counts, "key"), "crowd")
+        links = links.unionByName(_verified(_all_pairs(rest.where(F.col("n") <= CROWD)), classes, most))
+        crowd = rest.where(F.col("n") > CROWD).select("key", "c")
+    return links
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, component_id)`` for each row of ``docs``: the smallest non-null id of its group of near copies.
+
+    Texts are near copies if their fingerprints of ``words``-word shingles are as near as a Jaccard similarity of
+    ``similarity`` makes one expect (see ``most_bits``); groups are what links reach. Candidates are texts whose word sets'
+    fingerprints have a segment of 32 bits in common but for one bit, or two that both miss a bit of the other.
+    Null, empty and blank texts are near copies of one another. Repeated rows and ids and null ids come out as
+    they went in; an empty table gives an empty table. Other columns are not read.
+    """
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    marked = own.mapInArrow(_copy_marks(words), f"id {kind}, segments array<bigint>, print array<bigint>")
+    marked = written(marked.select("id", F.xxhash64("segments", "print").alias("c"), "segments", "print"), "marks")
+    classes = written(marked.groupBy("c").agg(F.min("id").alias("least"), F.any_value("segments").alias("segments"), F.any_value("print").alias("print")), "classes")
+    roots = star_components(copy_links(classes.select("c", "segments", "print"), most_bits(similarity)), "a", "b")
+    rooted = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root"))
+    rooted = written(rooted, "rooted")
+    smallest = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    named = written(rooted.join(smallest, "root").select("c", "component_id"), "named")
+    return marked.select("id", "c").join(named, "c", "left").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without those near copies whose id is not their group's smallest; rows with a null id stay."""
+    groups = near_copies(docs, id_col, text_col, words, similarity)
     gone = written(groups.where(F.col("component_id") < F.col("id")).select(F.col("id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -97,3 +97,49 @@ def test_empty_table_and_keep_one(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+
+
+def copies():
+    """Texts of 200 words with up to two words changed, texts of their own, and odd ones."""
+    rng = random.Random(21)
+    vocabulary = [f"word{i}" for i in range(2000)]
+    base = [[rng.choice(vocabulary) for _ in range(200)] for _ in range(5)]
+    rows, group = [], {}
+    for i in range(60):
+        words = list(base[i % 5])
+        for _ in range(i % 3):
+            words[rng.randrange(200)] = rng.choice(vocabulary)
+        rows.append((100 + i, " ".join(words)))
+        group[100 + i] = 100 + i % 5
+    for i in range(20):
+        rows.append((i + 1, " ".join(rng.choice(vocabulary) for _ in range(150))))
+        group[i + 1] = i + 1
+    return [*rows, (50, None), (51, ""), (None, rows[0][1]), (100, rows[0][1])], group | {50: 50, 51: 50}
+
+
+@pytest.mark.parametrize("crowd", [1, 8])
+def test_near_copies_are_grouped(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rows, group = copies()
+    got = simhash.near_copies(rows_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r.id: r.component_id for r in got if r.id is not None} == group
+    assert [r.component_id for r in got if r.id is None] == [100]
+
+
+def test_most_bits_separates_copies_from_others():
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(500)]
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
+    limit = simhash.most_bits(0.8)
+    caught = wrong = 0
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(400)]
+        other = list(words)
+        for _ in range(5):
+            other[rng.randrange(400)] = "changed"
+        far = [rng.choice(vocabulary) for _ in range(400)]
+        prints = [simhash.copy_prints(" ".join(w).encode(), 5)[1] for w in (words, other, far)]
+        caught += apart(prints[0], prints[1]) <= limit
+        wrong += apart(prints[0], prints[2]) <= limit
+    assert caught >= 57 and wrong == 0
