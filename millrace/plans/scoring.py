@@ -7,7 +7,8 @@ Arrow batches with numpy: for large layers. ``auto`` takes native up to NATIVE_W
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -126,12 +127,15 @@ def relational(samples: DataFrame, model: g.Model, id_col: str, x_col: str) -> D
     return tables[result].groupBy(F.col("i").alias("id")).agg(logits)
 
 
-def run_batch(model: g.Model, batch: np.ndarray) -> np.ndarray:
-    """The model on a batch (rows, features), by whole-tensor operators."""
+def run_batch(model: g.Model, batch: np.ndarray, seen: Callable[[g.Node, float], None] | None = None) -> np.ndarray:
+    """The model on a batch (rows, features), by whole-tensor operators; ``seen`` gets each node's milliseconds."""
     source, result = _input(model)
-    held = {**model.tensors, source: batch.astype(np.float32)}
+    held = {**model.tensors, source: batch.astype(np.float32, copy=False)}
     for node in _live(model):
+        began = time.perf_counter()
         held[node.outputs[0]] = g.compute(node, [held[i] for i in node.inputs])
+        if seen:
+            seen(node, 1000 * (time.perf_counter() - began))
     return held[result]
 
 
@@ -145,6 +149,43 @@ def check_batch(shape: tuple[int, ...], most: int) -> None:
         raise ValueError("the batch is empty")
 
 
+def _matrix(x: pa.Array) -> np.ndarray:
+    lengths = np.diff(x.offsets.to_numpy())
+    if (lengths != lengths[0]).any():
+        raise ValueError("samples have different numbers of features")
+    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(x), -1)
+
+
+def profile(samples: DataFrame, model: g.Model, batch_size: int, x_col: str = "x") -> DataFrame:
+    """``(part, batch, samples, node, op, elapsed_ms)``: a row for each node of each batch, and one of no node for the whole batch.
+
+    The log that ``node_profile`` (A14), ``floor_percentiles`` (A11) and ``latency`` (A13) take. Batches are consecutive rows of an
+    Arrow batch, the last one shorter (B1).
+    """
+    ship(samples.sparkSession)
+    shared = samples.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, rows = _matrix(batch.column(0)), []
+            for k in range(0, len(x), batch_size):
+                own = x[k : k + batch_size]
+                began = time.perf_counter()
+                run_batch(shared.value, own, lambda n, ms, own=own, number=number: rows.append((part, number, len(own), n.name, n.op, ms)))
+                rows.append((part, number, len(own), None, None, 1000 * (time.perf_counter() - began)))
+                number += 1
+            names = ["part", "batch", "samples", "node", "op", "elapsed_ms"]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return samples.select(F.col(x_col).cast("array<float>")).mapInArrow(run, "part int, batch bigint, samples bigint, node string, op string, elapsed_ms double")
+
+
 def vectorised(samples: DataFrame, model: g.Model, id_col: str, x_col: str) -> DataFrame:
     ship(samples.sparkSession)
     if (size := sum(t.nbytes for t in model.tensors.values())) > MAX_WEIGHT_BYTES:
@@ -153,14 +194,9 @@ def vectorised(samples: DataFrame, model: g.Model, id_col: str, x_col: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1)
             if not batch.num_rows:
                 continue
-            lengths = np.diff(x.offsets.to_numpy())
-            if (lengths != lengths[0]).any():
-                raise ValueError("samples have different numbers of features")
-            flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            out = run_batch(shared.value, flat.reshape(batch.num_rows, -1))
+            out = run_batch(shared.value, _matrix(batch.column(1)))
             offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel().astype(np.float64)))], ["id", "logits"])
 
