@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "millrace", **conf: str) ->
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
