@@ -70,3 +70,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this package has written in the shared folder. Results that were not written elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

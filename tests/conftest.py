@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from millrace.session import local_session  # noqa: E402
+from millrace.session import clear_work, local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,6 +15,7 @@ def spark():
     session = local_session(4, "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()
 
 
