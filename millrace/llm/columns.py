@@ -6,20 +6,15 @@ by ``let`` first, so that each is computed once a row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let
+
 #: Prefix sums are built in runs of this many elements, as each step copies the run.
 RUN = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def last(items: Column) -> Column:
     return F.element_at(items, -1)
 
