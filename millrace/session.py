@@ -59,9 +59,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -73,6 +78,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_work(spark: SparkSession) -> None:
-    """Delete what this package has written in the shared folder. Results that were not written elsewhere go with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
+    """Delete what this application has written in the shared folder. Results that were not written elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
