@@ -8,15 +8,32 @@ the library.
 from __future__ import annotations
 
 import os
+import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Pieces kept by a worker: two generations of this many.
-CACHE = 250_000
+CACHE = 300_000
 #: Longer pieces are encoded but not kept.
 KEPT_CHARS = 64
 
+#: Lower-case letters that the normaliser leaves as they are: a piece of these alone is one word for the model.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The model's letters for the UTF-8 bytes of Latin-1 characters: a byte that is no printable Latin-1 character stands as the next one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    moved = [b for b in range(256) if b not in printable]
+    letters = {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(moved)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+
+BYTE_LETTERS = _byte_letters()
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -34,43 +51,33 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} has more than 65,536 ids")
+        if sys.byteorder != "little":
+            raise ValueError("ids are kept as little-endian numbers")
+        self.model = self.tokenizer.model
+        self.marks = {c: array("H", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def _encode(self, piece: str) -> bytes:
+        """The ids of a piece that is in neither generation."""
+        end = piece[-1]
+        # a comma or full stop after a letter begins a token, and here ends it
+        marked = end in ".," and len(piece) > 1 and piece[-2].isalpha()
+        low = (piece[:-1] if marked else piece).lower()
+        if not PLAIN.fullmatch(low):
+            return array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        word = self.young.get(low) or self.old.get(low)
+        if word is None:
+            word = array("H", [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(BYTE_LETTERS))]).tobytes()
+            if len(low) <= KEPT_CHARS:
+                self.young[low] = word
+        return word + self.marks[end] if marked else word
+
     def _learn(self, pieces: list[str]) -> None:
         """Put the ids of ``pieces`` into the young generation."""
-        stems: dict[str, bytes] = {}
-        for p in pieces:  # a comma or full stop after an ASCII letter is a token of its own
-            if p in self.old:
-                self.young[p] = self.old[p]
-            else:
-                stems[self._stem(p)] = b""
-        new = []
-        for s in stems:
-            known = self.young.get(s) or self.old.get(s)
-            if known is None:
-                new.append(s)
-            else:
-                stems[s] = known
-        if new:
-            found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, words = np.array(found.ids, "<u2"), np.array(found.word_ids, np.int64)
-            ends = np.searchsorted(words, np.arange(len(new) + 1))
-            for s, i, j in zip(new, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                stems[s] = ids[i:j].tobytes()
         for p in pieces:
-            if p not in self.young:
-                s = self._stem(p)
-                self.young[p] = stems[s] if s is p else stems[s] + self._mark(p[-1])
-
-    @staticmethod
-    def _stem(piece: str) -> str:
-        return piece[:-1] if len(piece) > 1 and piece[-1] in ".," and piece[-2].isascii() and piece[-2].isalpha() else piece
-
-    def _mark(self, char: str) -> bytes:
-        if char not in self.young:
-            self.young[char] = self.old.get(char) or np.array(self.tokenizer.encode(char, add_special_tokens=False).ids, "<u2").tobytes()
-        return self.young[char]
+            known = self.old.get(p)
+            self.young[p] = self._encode(p) if known is None else known
 
     def ids(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
