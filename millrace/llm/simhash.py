@@ -156,8 +156,8 @@ def hex16(fp: Column) -> Column:
 
 #: Segments of 32 bits of a word-set fingerprint, each with an index of its own; numbers of 64 bits of a shingle fingerprint.
 SEGMENTS, NUMBERS = 6, 4
-#: Keys with more members are compared with one member at a time, which those that it covers leave.
-CROWD = 8
+#: Keys with more members are compared with one member at a time, in so many rounds.
+CROWD, ROUNDS = 8, 3
 
 
 def mixed(hashes: np.ndarray, stream: int) -> np.ndarray:
@@ -219,29 +219,50 @@ def _all_pairs(members: DataFrame) -> DataFrame:
     return sets.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """Members ``(key, c, n)`` of keys that have more than one, as a written table."""
+    counts = written(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "counts")
+    return written(members.join(counts, "key").select("key", "c", "n"), "members")
+
+
+def _stars(crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each key's members ``(key, c, deg)`` with its head, the member of the highest degree; and the pairs of both."""
+    heads = written(crowd.groupBy("key").agg(F.max(F.struct("deg", "c")).alias("top")).select("key", F.col("top.c").alias("head")), "heads")
+    others = crowd.join(heads, "key").where(F.col("c") != F.col("head"))
+    return others, others.select(F.least("head", "c").alias("a"), F.greatest("head", "c").alias("b")).distinct()
+
+
 def copy_links(classes: DataFrame, most: int) -> DataFrame:
     """Verified links ``(a, b)`` between classes ``(c, segments, print)``.
 
-    A crowded key's members are compared with its least member; those linked to it leave the key, as they are in its group,
-    and the others go on, until no key is crowded. So a key gives pairs in proportion to its members, not to their square.
+    All pairs of a key's members are compared if there are CROWD at most. A crowded key's members are compared with the
+    one that meets most others, as the text that copies were made of does; those linked to it leave the key. After ROUNDS
+    such rounds what is still crowded is dealt anew by the key and another segment, all pairs of small groups are
+    compared and the members of large ones with one of them. So pairs grow with the members, not with their square.
+    Copies that meet in none of these ways still meet in their less crowded keys or through others; what is missed in all is measured
+    (README).
     """
-    members = _members(classes)
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = written(members.join(counts, "key").select("key", "c", "n"), "members")
+    shared = _sized(_members(classes))
     links = _verified(_all_pairs(shared.where(F.col("n") <= CROWD)), classes, most)
-    crowd = written(shared.where(F.col("n") > CROWD).select("key", "c"), "crowd")
-    while not crowd.isEmpty():
-        heads = written(crowd.groupBy("key").agg(F.min("c").alias("head")), "heads")
-        others = crowd.join(heads, "key").where(F.col("c") != F.col("head"))
-        linked = _verified(others.select(F.col("head").alias("a"), F.col("c").alias("b")).distinct(), classes, most)
+    degrees = written(shared.groupBy("c").agg(F.sum("n").alias("deg")), "degrees")
+    crowd = written(shared.where(F.col("n") > CROWD).select("key", "c").join(degrees, "c"), "crowd")
+    for _ in range(ROUNDS):
+        if crowd.isEmpty():
+            return links
+        others, pairs = _stars(crowd)
+        linked = _verified(pairs, classes, most)
         links = links.unionByName(linked)
-        rest = others.join(linked, (F.col("head") == F.col("a")) & (F.col("c") == F.col("b")), "left_anti").select("key", "c")
-        rest = written(rest, "crowd")
-        counts = written(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "counts")
-        rest = written(rest.join(counts, "key"), "crowd")
+        same = (F.least("head", "c") == F.col("a")) & (F.greatest("head", "c") == F.col("b"))
+        rest = _sized(others.join(linked, same, "left_anti").select("key", "c"))
         links = links.unionByName(_verified(_all_pairs(rest.where(F.col("n") <= CROWD)), classes, most))
-        crowd = rest.where(F.col("n") > CROWD).select("key", "c")
-    return links
+        crowd = written(rest.where(F.col("n") > CROWD).select("key", "c").join(degrees, "c"), "crowd")
+    finer = crowd.join(classes.select("c", "segments"), "c").select("c", F.posexplode("segments").alias("s", "v"), "key")
+    # the key's own segment deals nothing anew
+    finer = finer.where(F.shiftright("key", 32) != F.col("s")).select(F.xxhash64("key", "s", "v").alias("key"), "c")
+    finer = _sized(finer)
+    links = links.unionByName(_verified(_all_pairs(finer.where(F.col("n") <= CROWD)), classes, most))
+    crowd = finer.where(F.col("n") > CROWD).select("key", "c").join(degrees, "c")
+    return links.unionByName(_verified(_stars(crowd)[1], classes, most))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
