@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the cluster names no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of an Arrow batch that goes to a Python worker: rows of long texts make small batches.
+ARROW_BYTES = 8 << 20
 
 
 def local_session(cores: int | str = "*", app: str = "millrace", **conf: str) -> SparkSession:
@@ -34,8 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that Python workers import it wherever they run."""
+    """Send this package to the executors once a session, so that Python workers import it wherever they run; bound their batches."""
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
     if getattr(sc, "_millrace_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
