@@ -150,14 +150,16 @@ def hex16(fp: Column) -> Column:
 
 # --- near copies by similarity ---
 #
-# Two texts of which 0.8 of the five-word shingles agree differ in some 15 % of their shingle fingerprints' bits: too many for
-# small balls around 32-bit segments. Their sets of words differ far less, in some 6 % of the bits. So the index holds
-# fingerprints of word sets, and what it finds is verified on complete fingerprints of five-word shingles.
+# An exact join on the Jaccard similarity of shingle sets, by prefixes (Chaudhuri et al. 2006; Bayardo et al. 2007): of two sets that are
+# similar enough, each holds at most a known number of shingles that the other lacks. So in any order of all shingles their first ones, one
+# more than that number, meet; and of more first ones, more meet. No step leaves out a pair that is similar enough.
 
-#: Segments of 32 bits of a word-set fingerprint, each with an index of its own; numbers of 64 bits of a shingle fingerprint.
+#: 64-bit numbers of the fingerprints that ``copy_prints`` makes: by segments of a word set's, by numbers of the shingles'.
 SEGMENTS, NUMBERS = 6, 4
-#: Keys with more members are compared with one member at a time, in so many rounds.
+#: All pairs of a key's members are compared if there are so many; else first with one member, in so many rounds.
 CROWD, ROUNDS = 8, 3
+#: 64-bit numbers of a parity sketch.
+SKETCH = 16
 
 
 def mixed(hashes: np.ndarray, stream: int) -> np.ndarray:
@@ -186,30 +188,65 @@ def most_bits(similarity: float) -> int:
     return int(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
-def _copy_marks(words: int):
+def least_common(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` has in common with any set of at least this similarity, at the least."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def shingle_set(text: bytes, words: int) -> tuple[int, np.ndarray]:
+    """The distinct shingle hashes in order, and a signed hash of them all."""
+    found = np.unique(shingle_hashes(text, words))
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63), found
+
+
+def parity_sketch(found: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH buckets whether it holds an odd number of the hashes: sketches differ in as many bits as sets do in hashes, at most."""
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _copy_marks(words: int, similarity: float):
+    """``(id, h, c, n, keys)``: the least hashes, of which any similar set has ``n / 20 + 1`` at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(2)]
+            keys = [f[: len(f) - least_common(len(f), similarity) + 1 + len(f) // 20].view(np.int64) for _, f in sets]
+            columns = [pa.array([c for c, _ in sets], pa.int64()), pa.array([len(f) for _, f in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "h", "c", "n", "keys"])
+
+    return run
+
+
+def _copy_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [copy_prints(t.as_py() or b"", words) for t in batch.column(1)]
-            lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "segments", "print"])
+            sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(0)]
+            lists = [pa.array([x.view(np.int64) for x in col], pa.list_(pa.int64())) for col in ([f for _, f in sets], [parity_sketch(f) for _, f in sets])]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.int64()), pa.array([len(f) for _, f in sets], pa.int64()), *lists], ["c", "n", "tokens", "sketch"])
 
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose complete fingerprints differ in ``most`` bits at most, as a written table."""
-    prints = classes.select("c", "print")
-    joined = pairs.join(prints.withColumnRenamed("c", "a").withColumnRenamed("print", "p"), "a").join(prints.withColumnRenamed("c", "b"), "b")
-    apart = sum((F.bit_count(F.get("p", k).bitwiseXOR(F.get("print", k))) for k in range(1, NUMBERS)), F.bit_count(F.get("p", 0).bitwiseXOR(F.get("print", 0))))
-    return written(joined.where(apart <= most).select("a", "b"), "links")
+def _may_be_similar(similarity: float) -> Column:
+    """Of sets with sizes ``n``, ``m`` and sketches ``p``, ``q``: false only where they are less similar."""
+    apart = sum((F.bit_count(F.get("p", k).bitwiseXOR(F.get("q", k))) for k in range(1, SKETCH)), F.bit_count(F.get("p", 0).bitwiseXOR(F.get("q", 0))))
+    sizes = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-6
+    return sizes & (apart <= (F.col("n") + F.col("m")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """``(key, c)``: a segment's own value and those with one more bit set. Values at one bit's distance meet once."""
-    masks = F.array(*[F.lit(1 << j).cast("bigint") for j in range(32)])
-    up = lambda v: F.transform(F.filter(masks, lambda m: v.bitwiseAND(m) == 0), lambda m: v.bitwiseOR(m))
-    keys = F.transform("segments", lambda v, s: F.transform(F.concat(F.array(v), up(v)), lambda x: F.shiftleft(s.cast("bigint"), 32).bitwiseOR(x)))
-    return classes.select("c", F.explode(F.flatten(keys)).alias("key"))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, sifted: bool = False) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose sets have at least this Jaccard similarity, as a written table."""
+    if not sifted:
+        left = sets.select(F.col("c").alias("a"), "n", F.col("sketch").alias("p"))
+        right = sets.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("q"))
+        pairs = pairs.join(left, "a").join(right, "b").where(_may_be_similar(similarity)).select("a", "b")
+    pairs = written(pairs, "pairs")
+    left = sets.select(F.col("c").alias("a"), "n", F.col("tokens").alias("p"))
+    right = sets.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("q"))
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("p", "q"))
+    return written(both.where(common * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - 1e-6).select("a", "b"), "links")
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
@@ -225,67 +262,89 @@ def _sized(members: DataFrame) -> DataFrame:
     return written(members.join(counts, "key").select("key", "c", "n"), "members")
 
 
-def _stars(crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each key's members ``(key, c, deg)`` with its head, the member of the highest degree; and the pairs of both."""
-    heads = written(crowd.groupBy("key").agg(F.max(F.struct("deg", "c")).alias("top")).select("key", F.col("top.c").alias("head")), "heads")
-    others = crowd.join(heads, "key").where(F.col("c") != F.col("head"))
-    return others, others.select(F.least("head", "c").alias("a"), F.greatest("head", "c").alias("b")).distinct()
+def _unsettled(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """Members ``(key, c, deg, root)`` of the keys whose members are not all in one component yet, as a written table."""
+    roots = star_components(links, "a", "b")
+    rooted = crowd.join(roots, crowd["c"] == roots["node"], "left").select("key", "c", "deg", F.coalesce("root", "c").alias("root"))
+    rooted = written(rooted, "rooted")
+    apart = written(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "apart")
+    return written(rooted.join(apart, "key", "left_semi"), "crowd")
+
+
+def _stars(crowd: DataFrame, turn: int) -> DataFrame:
+    """Each key's head, in the first turn the member of the highest degree, with the members of other components."""
+    rank = F.col("deg") if turn == 0 else F.xxhash64("c", F.lit(turn))
+    heads = crowd.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "c", "root")).alias("top"))
+    heads = written(heads.select("key", F.col("top.c").alias("head"), F.col("top.root").alias("own")), "heads")
+    others = crowd.join(heads, "key").where(F.col("root") != F.col("own"))
+    return others.select(F.least("head", "c").alias("a"), F.greatest("head", "c").alias("b")).distinct()
 
 
-def copy_links(classes: DataFrame, most: int) -> DataFrame:
-    """Verified links ``(a, b)`` between classes ``(c, segments, print)``.
+def copy_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between the sets ``(c, n, tokens, sketch)``: all are similar enough, and they join all that are.
 
-    All pairs of a key's members are compared if there are CROWD at most. A crowded key's members are compared with the
-    one that meets most others, as the text that copies were made of does; those linked to it leave the key. After ROUNDS
-    such rounds what is still crowded is dealt anew by the key and another segment, all pairs of small groups are
-    compared and the members of large ones with one of them. So pairs grow with the members, not with their square.
-    Copies that meet in none of these ways still meet in their less crowded keys or through others; what is missed in all is measured
-    (README).
+    Keys are each set's first shingles, rare ones first. All pairs of a key's members are compared if there are CROWD at most. A crowded
+    key's members are compared with one of them, in ROUNDS rounds; a key is done when its members are in one component. Of what is left
+    all pairs across components are compared, by size and sketch within the join: what these exclude is not similar.
     """
-    shared = _sized(_members(classes))
-    links = _verified(_all_pairs(shared.where(F.col("n") <= CROWD)), classes, most)
+    tokens = sets.select("c", "n", F.explode("tokens").alias("token"))
+    common = written(tokens.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > 1), "shared")
+    firsts = tokens.join(common, "token").groupBy("c").agg(F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("all"))
+    # shingles that no other set holds come first of all
+    spare = F.size("all") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
+    keys = firsts.where(spare > 0).select("c", F.explode(F.slice("all", 1, spare)).alias("k")).select("c", F.col("k.token").alias("key"))
+    shared = _sized(written(keys, "keys"))
+    links = _verified(_all_pairs(shared.where(F.col("n") <= CROWD)), sets, similarity)
     degrees = written(shared.groupBy("c").agg(F.sum("n").alias("deg")), "degrees")
     crowd = written(shared.where(F.col("n") > CROWD).select("key", "c").join(degrees, "c"), "crowd")
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         if crowd.isEmpty():
             return links
-        others, pairs = _stars(crowd)
-        linked = _verified(pairs, classes, most)
-        links = links.unionByName(linked)
-        same = (F.least("head", "c") == F.col("a")) & (F.greatest("head", "c") == F.col("b"))
-        rest = _sized(others.join(linked, same, "left_anti").select("key", "c"))
-        links = links.unionByName(_verified(_all_pairs(rest.where(F.col("n") <= CROWD)), classes, most))
-        crowd = written(rest.where(F.col("n") > CROWD).select("key", "c").join(degrees, "c"), "crowd")
-    finer = crowd.join(classes.select("c", "segments"), "c").select("c", F.posexplode("segments").alias("s", "v"), "key")
-    # the key's own segment deals nothing anew
-    finer = finer.where(F.shiftright("key", 32) != F.col("s")).select(F.xxhash64("key", "s", "v").alias("key"), "c")
-    finer = _sized(finer)
-    links = links.unionByName(_verified(_all_pairs(finer.where(F.col("n") <= CROWD)), classes, most))
-    crowd = finer.where(F.col("n") > CROWD).select("key", "c").join(degrees, "c")
-    return links.unionByName(_verified(_stars(crowd)[1], classes, most))
+        crowd = _unsettled(crowd.select("key", "c", "deg"), links)
+        links = links.unionByName(_verified(_stars(crowd, turn), sets, similarity))
+    crowd = _unsettled(crowd.select("key", "c", "deg"), links)
+    if crowd.isEmpty():
+        return links
+    own = written(crowd.join(sets.select("c", "n", "sketch"), "c"), "crowd")
+    left = own.select("key", F.col("c").alias("a"), "n", F.col("sketch").alias("p"), F.col("root").alias("ra"))
+    right = own.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("q"), F.col("root").alias("rb"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_be_similar(similarity))
+    return links.unionByName(_verified(pairs.select("a", "b").distinct(), sets, similarity, sifted=True))
+
+
+def _alive(marks: DataFrame) -> DataFrame:
+    """``(h)`` of the texts of which as many of the least shingles are in other sets as a similar one makes sure."""
+    posts = marks.select("c", F.explode("keys").alias("key"))
+    shared = written(posts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "shared")
+    hits = written(posts.join(shared, "key", "left_semi").groupBy("c").agg(F.count("*").alias("hits")), "hits")
+    # equal sets add up, so their number counts as often
+    need = F.count("*") * (F.floor(F.any_value("n") / 20) + 1)
+    held = written(marks.groupBy("c").agg(need.alias("need")).join(hits, "c").where("hits >= need").select("c"), "held")
+    return written(marks.select("c", "h").join(held, "c", "left_semi").select("h").distinct(), "alive")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, component_id)`` for each row of ``docs``: the smallest non-null id of its group of near copies.
 
-    Texts are near copies if their fingerprints of ``words``-word shingles are as near as a Jaccard similarity of
-    ``similarity`` makes one expect (see ``most_bits``); groups are what links reach. Candidates are texts whose word sets'
-    fingerprints have a segment of 32 bits in common but for one bit, or two that both miss a bit of the other.
-    Null, empty and blank texts are near copies of one another. Repeated rows and ids and null ids come out as
-    they went in; an empty table gives an empty table. Other columns are not read.
+    Texts are near copies if the Jaccard similarity of their sets of ``words``-word shingles (as 64-bit hashes) is ``similarity`` or more;
+    groups are what links reach. The search is exact. Null, empty and blank texts are near copies of one another. Repeated rows and
+    ids and null ids come out as they went in; an empty table gives an empty table. Other columns are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    marked = own.mapInArrow(_copy_marks(words), f"id {kind}, segments array<bigint>, print array<bigint>")
-    marked = written(marked.select("id", F.xxhash64("segments", "print").alias("c"), "segments", "print"), "marks")
-    classes = written(marked.groupBy("c").agg(F.min("id").alias("least"), F.any_value("segments").alias("segments"), F.any_value("print").alias("print")), "classes")
-    roots = star_components(copy_links(classes.select("c", "segments", "print"), most_bits(similarity)), "a", "b")
+    text = F.col(text_col).cast("binary")
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    marks = written(own.mapInArrow(_copy_marks(words, similarity), f"id {kind}, h bigint, c bigint, n bigint, keys array<bigint>"), "marks")
+    alive = own.select("t", "h").join(_alive(marks), "h", "left_semi").select("t")
+    sets = alive.mapInArrow(_copy_sets(words), "c bigint, n bigint, tokens array<bigint>, sketch array<bigint>")
+    sets = written(sets.groupBy("c").agg(*[F.any_value(x).alias(x) for x in ("n", "tokens", "sketch")]), "sets")
+    roots = star_components(copy_links(sets, similarity), "a", "b")
+    classes = written(marks.groupBy("c").agg(F.min("id").alias("least")), "classes")
     rooted = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     rooted = written(rooted, "rooted")
     smallest = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     named = written(rooted.join(smallest, "root").select("c", "component_id"), "named")
-    return marked.select("id", "c").join(named, "c", "left").select("id", "component_id")
+    return marks.select("id", "c").join(named, "c", "left").select("id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
