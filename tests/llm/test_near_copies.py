@@ -72,3 +72,24 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch, crowd):
         rows.append((i, " ".join(passage + text)))
         rows.append((1000 + i, " ".join(passage + [word() for _ in range(rng.randrange(5, 60))])))
     assert grouped(spark, rows) == jaccard_groups(rows)
+
+
+def blocks(pairs=60, words=150):
+    """Isolated pairs: one text is the other with a block appended, deleted or replaced, at similarities from 0.8."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(pairs):
+        word = lambda: f"p{i}x{rng.randrange(3000)}"
+        text = [word() for _ in range(words)]
+        block = [word() for _ in range(words // 5 - 1)]
+        at = rng.randrange(words // 2)
+        other = [text + block, text[:at] + text[at + 24 :], text[:at] + block[:11] + text[at + 11 :]][i % 3]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    return rows
+
+
+def test_changed_blocks_are_found(spark):
+    rows = blocks()
+    want = jaccard_groups(rows)
+    assert sum(i != c for i, c in want.items()) == 42
+    assert grouped(spark, rows) == want
