@@ -93,3 +93,24 @@ def test_changed_blocks_are_found(spark):
     want = jaccard_groups(rows)
     assert sum(i != c for i, c in want.items()) == 42
     assert grouped(spark, rows) == want
+
+
+def around_the_threshold(pairs=120, words=200):
+    """Isolated pairs with a tail replaced, at similarities of 0.7 to 0.9, some at exactly 0.8."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(pairs):
+        text = [f"q{i}x{k}" for k in range(words)]
+        other = text + [f"r{i}x{k}" for k in range(49)] if i % 10 == 0 else text[: -rng.randrange(10, 35)]
+        while i % 10 and len(other) < words:
+            other.append(f"r{i}x{len(other)}")
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    rows.append((1000, " ".join(f"q0x{k}" for k in range(200)) + " same"))
+    return rows
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    rows = around_the_threshold()
+    want = jaccard_groups(rows)
+    assert 20 < sum(i != c for i, c in want.items()) < 100
+    assert grouped(spark, rows) == want
