@@ -2,7 +2,7 @@
 
 A unit of text is brought to a canonical form: lower case, copyright lines left out, punctuation as spaces,
 equivalent spellings as one, white space collapsed. The SHA-256 of the form is joined to the digests of the known
-licences. Units are entire documents and entire lines. The known table is a fixed list of this package, a few kilobytes,
+licences. Units are entire documents and entire lines. The known table is a fixed list of this package, some hundred kilobytes,
 so it is broadcast; nothing but the found lines is shuffled.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.licence_digests import DIGESTS, NOTICES
 from millrace.llm.licence_texts import TEXTS
 from millrace.session import written
 
@@ -53,8 +54,9 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """``(known, licence)``: the digests of the known texts."""
-    table = spark.createDataFrame(TEXTS, "licence string, text string")
-    return F.broadcast(table.select(digest(F.col("text")).alias("known"), "licence").distinct())
+    table = spark.createDataFrame([*TEXTS, *NOTICES], "licence string, text string").select(digest(F.col("text")).alias("known"), "licence")
+    whole = spark.createDataFrame(DIGESTS, "licence string, known string").select("known", "licence")
+    return F.broadcast(table.unionByName(whole).distinct())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
