@@ -17,6 +17,12 @@ from millrace.session import written
 
 # Patterns that Java and RE2 read alike.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright [0-9<(©]|copyright: |\(c\) |© ?)[^\n]*"
+#: Any line that states a copyright, by name too; not what a sentence of a licence may go on with after the word. Java's alone.
+STATEMENT = (
+    r"(?m)^[^a-z0-9\n]*(?:(?:some |other )?(?:portions|parts|modifications|additions|contributions)(?: (?:are|of this software are))?[ \t,:]+)?"
+    r"copyright[ \t:,]+(?!(?:notices?|holders?|owners?|licen[sc]es?|licen[sc]ed|laws?|statements?|interests?|disclaimers?|treaty|permission|ownership|"
+    r"infringement|protection|claims?|rights?|and|or|in|is|to|on|of|as|for|the software|the library|the program)\b)\S[^\n]*"
+)
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{2010}-\x{2015}\x{2018}-\x{201f}\x{2022}\x{a0}\x{a9}\x{ab}\x{bb}]+"
 #: Equivalent spellings, in the canonical form's words: (spelling, one spelling), replaced in this order.
 SPELLINGS = [
@@ -62,7 +68,7 @@ def known(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, canonical_sha256, licence, notices, n_notice_lines)`` for each row of ``docs``.
 
-    ``licence`` is that of the entire text (null if its digest is not known); ``notices`` the licences, comma-joined in
+    ``licence`` is that of the entire text, or else of the text without any copyright statements (null if no digest is known); ``notices`` the licences, comma-joined in
     order, of which an entire line is a known text, ``n_notice_lines`` how many lines are. A null text counts as empty.
     Rows are judged by their texts alone: repeated rows and ids and null ids come out as they went in; an empty table
     gives an empty table. Other columns are not read.
@@ -83,9 +89,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"), F.sum((F.col("count") / F.col("rows")).cast("bigint")).alias("n_notice_lines")
     )
     by_text = written(by_text, "licence-notices")
-    whole = own.select("id", "canonical_sha256", "content").join(known(spark), F.col("canonical_sha256") == F.col("known"), "left")
+    lower = F.lower("text")
+    bare = F.when(lower.contains("copyright"), digest(F.regexp_replace(lower, STATEMENT, "\n"))).alias("bare")
+    whole = own.select("id", "canonical_sha256", "content", bare).join(known(spark), F.col("canonical_sha256") == F.col("known"), "left")
+    also = known(spark).select(F.col("known").alias("bare"), F.col("licence").alias("other"))
+    whole = whole.join(F.broadcast(also), "bare", "left")
     return whole.join(by_text, F.col("content") == F.col("of"), "left").select(
-        "id", "canonical_sha256", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notice_lines", F.lit(0)).alias("n_notice_lines")
+        "id", "canonical_sha256", F.coalesce("licence", "other").alias("licence"), F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notice_lines", F.lit(0)).alias("n_notice_lines")
     )
 
 

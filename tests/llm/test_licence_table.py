@@ -24,3 +24,13 @@ def test_whole_texts(spark):
     files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
     got = scanned(spark, [(COMMON / f).read_text() for f in files])
     assert [got[i].licence for i in range(len(files))] == list(files.values())
+
+
+def test_copyright_statements_by_name(spark):
+    lines = ["Copyright The Authors", "Copyright Joyent, Inc. and other Node contributors.", "Portions Copyright (c) 2020 X"]
+    texts = [t.replace("\n\n", f"\n\n{line}\n", 1) for line in lines for n, t in licences.TEXTS if n in ("MIT", "BSD-3-Clause", "ISC") and "\n\n" in t]
+    names = [n for _ in lines for n, t in licences.TEXTS if n in ("MIT", "BSD-3-Clause", "ISC") and "\n\n" in t]
+    mit = next(t for n, t in licences.TEXTS if n == "MIT")
+    wrapped = mit.replace(" copyright", "\ncopyright").replace(" COPYRIGHT", "\nCOPYRIGHT") + "\n\nCopyright Ann"
+    got = scanned(spark, [*texts, wrapped, mit + "\n\nCopyright license is not granted"])
+    assert [got[i].licence for i in range(len(names) + 2)] == [*names, "MIT", None]
