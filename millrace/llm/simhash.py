@@ -154,40 +154,14 @@ def hex16(fp: Column) -> Column:
 # similar enough, each holds at most a known number of shingles that the other lacks. So in any order of all shingles their first ones, one
 # more than that number, meet; and of more first ones, more meet. No step leaves out a pair that is similar enough.
 
-#: 64-bit numbers of the fingerprints that ``copy_prints`` makes: by segments of a word set's, by numbers of the shingles'.
-SEGMENTS, NUMBERS = 6, 4
-#: All pairs of a key's members are compared if there are so many; else first with one member, in so many rounds.
-CROWD, ROUNDS = 8, 3
+#: All pairs of a key's members are compared if there are so many; else with two of them first.
+CROWD = 8
+#: Crowded keys that a set's first comparisons come from.
+STAR_KEYS = 4
 #: 64-bit numbers of a parity sketch.
 SKETCH = 16
 
 
-def mixed(hashes: np.ndarray, stream: int) -> np.ndarray:
-    """Further hashes from given ones, by the finaliser of SplitMix64."""
-    z = hashes + np.uint64(0x9E3779B97F4A7C15 * stream & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def copy_prints(text: bytes, words: int) -> tuple[list[int], list[int]]:
-    """Segments of the word set's fingerprint, and the numbers of the shingles' fingerprint."""
-    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], np.uint64)
-    segments = []
-    for k in range(SEGMENTS // 2):
-        bits = fingerprint(mixed(own, k + 1)) & (1 << 64) - 1
-        segments += [bits >> 32, bits & LOW]
-    shingles = shingle_hashes(text, words)
-    return segments, [fingerprint(mixed(shingles, SEGMENTS + k)) for k in range(NUMBERS)]
-
-
-def most_bits(similarity: float) -> int:
-    """Bits in which shingle fingerprints may differ: what a Jaccard similarity makes one expect, and one standard deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * NUMBERS
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
-
-
 def least_common(n: int, similarity: float) -> int:
     """Shingles that a set of ``n`` has in common with any set of at least this similarity, at the least."""
     return math.ceil(similarity * n - 1e-9)
@@ -256,60 +230,55 @@ def _all_pairs(members: DataFrame) -> DataFrame:
     return sets.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _sized(members: DataFrame) -> DataFrame:
-    """Members ``(key, c, n)`` of keys that have more than one, as a written table."""
-    counts = written(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "counts")
-    return written(members.join(counts, "key").select("key", "c", "n"), "members")
+def _stars(crowd: DataFrame) -> DataFrame:
+    """Pairs of members of crowded keys with two of each key: that of the most neighbours, and the smallest set. A set takes part by a few of its keys."""
+    own = crowd.groupBy("c").agg(F.any_value("n").alias("n"), F.sum("held").alias("deg"), F.array_sort(F.collect_list(F.struct((-F.col("held")).alias("less"), "key"))).alias("all"))
+    own = written(own.select("c", "n", "deg", F.explode(F.slice("all", 1, STAR_KEYS)).alias("k")).select("c", "n", "deg", F.col("k.key").alias("key")), "crowd")
+    heads = own.groupBy("key").agg(F.max(F.struct("deg", "c")).alias("most"), F.min(F.struct("n", "c")).alias("least"))
+    heads = written(heads.select("key", F.explode(F.array_distinct(F.array("most.c", "least.c"))).alias("head")), "heads")
+    both = own.select("key", "c").join(heads, "key").where(F.col("c") != F.col("head"))
+    return both.select(F.least("head", "c").alias("a"), F.greatest("head", "c").alias("b")).distinct()
+
 
+def _across(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of crowded keys that are in different components and may be similar.
 
-def _unsettled(crowd: DataFrame, links: DataFrame) -> DataFrame:
-    """Members ``(key, c, deg, root)`` of the keys whose members are not all in one component yet, as a written table."""
-    roots = star_components(links, "a", "b")
-    rooted = crowd.join(roots, crowd["c"] == roots["node"], "left").select("key", "c", "deg", F.coalesce("root", "c").alias("root"))
+    The smaller set of a pair meets the larger one in its own class of sizes or the next: sizes of similar sets differ by less than a class.
+    """
+    rooted = crowd.join(roots, crowd["c"] == roots["node"], "left").select("key", "c", F.coalesce("root", "c").alias("root"))
     rooted = written(rooted, "rooted")
     apart = written(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "apart")
-    return written(rooted.join(apart, "key", "left_semi"), "crowd")
-
-
-def _stars(crowd: DataFrame, turn: int) -> DataFrame:
-    """Each key's head, in the first turn the member of the highest degree, with the members of other components."""
-    rank = F.col("deg") if turn == 0 else F.xxhash64("c", F.lit(turn))
-    heads = crowd.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "c", "root")).alias("top"))
-    heads = written(heads.select("key", F.col("top.c").alias("head"), F.col("top.root").alias("own")), "heads")
-    others = crowd.join(heads, "key").where(F.col("root") != F.col("own"))
-    return others.select(F.least("head", "c").alias("a"), F.greatest("head", "c").alias("b")).distinct()
+    rest = rooted.join(apart, "key", "left_semi").join(sets.select("c", "n", "sketch"), "c")
+    # a class spans slightly more than what the similarity allows
+    rest = written(rest.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / (-math.log(similarity) + 1e-6)).cast("int")), "unsettled")
+    left = rest.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("c").alias("a"), "n", F.col("sketch").alias("p"), F.col("root").alias("ra"))
+    right = rest.select("key", "size", F.col("c").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("q"), F.col("root").alias("rb"))
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    return left.join(right, ["key", "size"]).where(ordered & (F.col("ra") != F.col("rb")) & _may_be_similar(similarity)).select("a", "b").distinct()
 
 
 def copy_links(sets: DataFrame, similarity: float) -> DataFrame:
     """Links ``(a, b)`` between the sets ``(c, n, tokens, sketch)``: all are similar enough, and they join all that are.
 
-    Keys are each set's first shingles, rare ones first. All pairs of a key's members are compared if there are CROWD at most. A crowded
-    key's members are compared with one of them, in ROUNDS rounds; a key is done when its members are in one component. Of what is left
-    all pairs across components are compared, by size and sketch within the join: what these exclude is not similar.
+    Keys are each set's first shingles, rare ones first. All pairs of a key's members are compared if there are CROWD at most. Members
+    of a crowded key are compared with two of them; that puts a large group of copies into one component. In the keys whose members are
+    then still in several components, all pairs across components are compared, by size and sketch within the join: what these exclude is
+    not similar. So no pair of a crowded key is left out unless its members are linked already.
     """
     tokens = sets.select("c", "n", F.explode("tokens").alias("token"))
     common = written(tokens.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > 1), "shared")
     firsts = tokens.join(common, "token").groupBy("c").agg(F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("all"))
     # shingles that no other set holds come first of all
     spare = F.size("all") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
-    keys = firsts.where(spare > 0).select("c", F.explode(F.slice("all", 1, spare)).alias("k")).select("c", F.col("k.token").alias("key"))
-    shared = _sized(written(keys, "keys"))
-    links = _verified(_all_pairs(shared.where(F.col("n") <= CROWD)), sets, similarity)
-    degrees = written(shared.groupBy("c").agg(F.sum("n").alias("deg")), "degrees")
-    crowd = written(shared.where(F.col("n") > CROWD).select("key", "c").join(degrees, "c"), "crowd")
-    for turn in range(ROUNDS):
-        if crowd.isEmpty():
-            return links
-        crowd = _unsettled(crowd.select("key", "c", "deg"), links)
-        links = links.unionByName(_verified(_stars(crowd, turn), sets, similarity))
-    crowd = _unsettled(crowd.select("key", "c", "deg"), links)
+    keys = firsts.where(spare > 0).select("c", "n", F.explode(F.slice("all", 1, spare)).alias("k")).select("c", "n", F.col("k.token").alias("key"))
+    keys = written(keys, "keys")
+    counts = written(keys.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > 1), "counts")
+    members = written(keys.join(counts, "key").select("key", "c", "n", "held"), "members")
+    crowd = members.where(F.col("held") > CROWD)
+    links = _verified(_all_pairs(members.where(F.col("held") <= CROWD)).unionByName(_stars(crowd)).distinct(), sets, similarity)
     if crowd.isEmpty():
         return links
-    own = written(crowd.join(sets.select("c", "n", "sketch"), "c"), "crowd")
-    left = own.select("key", F.col("c").alias("a"), "n", F.col("sketch").alias("p"), F.col("root").alias("ra"))
-    right = own.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("q"), F.col("root").alias("rb"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_be_similar(similarity))
-    return links.unionByName(_verified(pairs.select("a", "b").distinct(), sets, similarity, sifted=True))
+    return links.unionByName(_verified(_across(crowd.select("key", "c"), star_components(links, "a", "b"), sets, similarity), sets, similarity, sifted=True))
 
 
 def _alive(marks: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import simhash, word_tokens
-from tests.llm import test_line_dedup, test_quality, test_secrets
+from millrace.llm import word_tokens
+from tests.llm import test_line_dedup, test_near_copies, test_quality, test_secrets
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -47,17 +47,8 @@ def lines_deduped(rows):
 
 
 def one_of_each(rows):
-    prints = [simhash.copy_prints(t.encode(), 5)[1] for _, t in rows]
-    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if apart(prints[i], prints[j]) <= simhash.most_bits(0.8):
-                root = [root[j] if r == root[i] else r for r in root]
-    least = {}
-    for r, (i, _) in zip(root, rows, strict=True):
-        least[r] = min(i, least.get(r, i))
-    return [row for r, row in zip(root, rows, strict=True) if row[0] == least[r]]
+    least = test_near_copies.jaccard_groups(rows)
+    return [row for row in rows if least[row[0]] == row[0]]
 
 
 def redacted(text):
