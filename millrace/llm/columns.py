@@ -6,6 +6,8 @@ by ``let`` first, so that each is computed once a row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,32 +15,59 @@ from millrace.functions.arrays import let
 
 #: Prefix sums are built in runs of this many elements, as each step copies the run.
 RUN = 256
+#: Code points of a chunk of a text that is cut.
+CHUNK = 4096
 
 
 def last(items: Column) -> Column:
     return F.element_at(items, -1)
 
 
-def prefix_sums(items: Column) -> Column:
-    """Sums up to and with each element of an array of longs; an empty array for an empty one."""
+def _prefixes(items: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """What ``put``, of which 0 is the neutral element, makes of the elements up to and with each one of an array of longs."""
     zero = F.array(F.lit(0).cast("bigint"))
 
-    def sums(values: Column) -> Column:
-        return F.aggregate(values, zero, lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
+    def along(values: Column) -> Column:
+        return F.aggregate(values, zero, lambda acc, x: F.concat(acc, F.array(put(last(acc), x))))
 
     def runs(values: Column) -> Column:
         count = F.ceil(F.size(values) / F.lit(RUN)).cast("int")
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: sums(F.slice(values, k * RUN + 1, RUN)))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: along(F.slice(values, k * RUN + 1, RUN)))
 
     def joined(parts: Column) -> Column:
         return let(
-            sums(F.transform(parts, last)),
-            lambda bases: F.flatten(F.transform(parts, lambda p, k: F.transform(F.slice(p, 2, F.size(p)), lambda x: x + F.get(bases, k)))),
+            along(F.transform(parts, last)),
+            lambda bases: F.flatten(F.transform(parts, lambda p, k: F.transform(F.slice(p, 2, F.size(p)), lambda x: put(x, F.get(bases, k))))),
         )
 
     return let(items, lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(let(runs(v), joined)))
 
 
+def prefix_sums(items: Column) -> Column:
+    """Sums up to and with each element of an array of longs; an empty array for an empty one."""
+    return _prefixes(items, lambda a, b: a + b)
+
+
+def running_max(items: Column) -> Column:
+    """The largest element up to and with each one of an array of longs from 0 on."""
+    return _prefixes(items, lambda a, b: F.greatest(a, b))
+
+
+def cut_spans(text: Column, spans: Column) -> Column:
+    """The pieces of a text, as an array, that spans ``(start, end)`` of code points name. A text is cut into chunks once, so a piece costs its length and a chunk."""
+    whole = lambda x: F.floor(x / F.lit(CHUNK)).cast("int")
+
+    def piece(chunks: Column, s: Column) -> Column:
+        def part(k: Column) -> Column:
+            first = F.greatest(s["start"] - k * CHUNK, F.lit(0)).cast("int")
+            return F.substring(F.get(chunks, k), first + 1, F.least(s["end"] - k * CHUNK, F.lit(CHUNK)).cast("int") - first)
+
+        inside = F.array_join(F.transform(F.sequence(whole(s["start"]), whole(s["end"] - 1)), part), "")
+        return F.when(s["end"] > s["start"], inside).otherwise(F.lit(""))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0), lambda chunks: F.transform(spans, lambda s: piece(chunks, s)))
+
+
 def match_spans(text: Column, pattern: str, hits: Column) -> Column:
     """Code-point spans ``(start, end)`` of the matches ``hits`` of ``pattern``, which never matches an empty string.
 
