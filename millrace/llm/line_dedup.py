@@ -1,12 +1,14 @@
-"""Line-level deduplication with two Bloom filters.
-
-Pass 1 hashes every line key once a document into two Bloom filters: one of keys seen, one of keys seen again.
-Tasks emit the filters' blocks; a block's partial filters meet in one task, which holds the bits of that block
-alone: a key that two partial filters have both seen is seen twice. Pass 2 tests each line against the
-finished twice-seen filter, which is broadcast: its size is set from the number of lines and never exceeds
-``MAX_FILTER_BYTES``. Beyond that more lines are suspected, none is lost. Only suspected keys, with their
-document, are shuffled, as text, to confirm repeats exactly and to choose the first document. Pass 3 drops
-lines from the documents that have some to lose.
+"""Line-level deduplication with two Bloom filters, dealt by ranges of hashes.
+
+A line key is known by its BLAKE2b digest of 128 bits. One pass over the texts writes a row for each document and key: the digest's
+halves and the id. Within a run of such rows, a hash that comes again is known to be repeated, and one of its rows leads; so a
+line that half the documents hold sends a row a run and no more.
+
+The leading hashes are dealt by ranges. Each range has two Bloom filters, of hashes seen and of hashes seen again, sized by its share of the
+lines, so a filter's size and its share of false hits are the same whatever the number of lines: there are more ranges. A range's
+twice-seen filter then meets the rows of its range that are not known to be repeated, in the order filter, rows. What it lets through,
+and what was known before, are the suspects. Only they are grouped, by the whole digest, to confirm repeats and to choose the first document.
+The last pass drops lines from the documents that have some to lose.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,10 @@ from millrace.session import ship, written
 MIN_KEY = 10
 #: Bits of the filters for each line, and bits set for each key.
 BITS_PER_LINE, PROBES = 12, 3
-#: Bound of the broadcast filter; both filters of a task take twice that.
-MAX_FILTER_BYTES = 64 << 20
-#: Filters travel in blocks of this many bytes.
-BLOCK = 1 << 16
+#: Lines of a range, on average, at the most; and ranges at the least.
+RANGE_LINES, RANGES = 2_000_000, 64
+#: Rows in which repeated hashes are looked for before anything is dealt.
+RUN = 1 << 19
 
 
 def line_keys(text: bytes) -> list[bytes | None]:
@@ -42,17 +43,27 @@ def line_keys(text: bytes) -> list[bytes | None]:
     return out
 
 
-def positions(keys: list[bytes], bits: int) -> np.ndarray:
-    """(keys, PROBES) bit positions, by double hashing of a 128-bit hash."""
-    raw = b"".join(map(xxhash.xxh3_128_digest, keys))
-    pair = np.frombuffer(raw, "<u8").reshape(-1, 2)
-    steps = np.arange(PROBES, dtype=np.uint64)
-    return ((pair[:, :1] + steps * (pair[:, 1:] | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
+def digests(keys: list[bytes]) -> np.ndarray:
+    """(keys, 2) 64-bit halves."""
+    raw = b"".join([hashlib.blake2b(k, digest_size=16).digest() for k in keys])
+    return np.frombuffer(raw, "<i8").reshape(-1, 2)
+
+
+def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """(hashes, PROBES) bit positions, by double hashing. The high bits name the range, so the step is mixed from all of them."""
+    h = hashes.view(np.uint64)[:, None]
+    step = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) | np.uint64(1)
+    return ((h + np.arange(PROBES, dtype=np.uint64) * step) & np.uint64(bits - 1)).astype(np.int64)
+
 
+def ranges_for(lines: int) -> int:
+    """A power of two."""
+    return max(RANGES, 1 << (max(1, -(-lines // RANGE_LINES)) - 1).bit_length())
 
-def filter_bits(lines: int) -> int:
-    """A power of two of bits: whole blocks, at most MAX_FILTER_BYTES."""
-    return min(max(BLOCK * 8, 1 << (max(1, lines) * BITS_PER_LINE - 1).bit_length()), MAX_FILTER_BYTES * 8)
+
+def filter_bits(lines: int, ranges: int) -> int:
+    """A power of two of bits for a range's share of the lines; its hashes are spread evenly."""
+    return max(1 << 13, 1 << (-(-max(1, lines) // ranges) * BITS_PER_LINE - 1).bit_length())
 
 
 def _get(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -63,93 +74,120 @@ def _put(bitmap: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
 
-def add(once: np.ndarray, twice: np.ndarray, keys: list[bytes], bits: int) -> None:
-    """Note one document's distinct keys."""
-    at = positions(keys, bits)
-    again = _get(once, at).all(axis=1)
-    if again.any():
-        _put(twice, at[again].ravel())
-    _put(once, at[~again].ravel())
+def add(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray, repeated: np.ndarray, bits: int) -> None:
+    """Note hashes, some of them known to be repeated; a hash may come several times."""
+    own, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+    again = counts > 1
+    np.logical_or.at(again, np.searchsorted(own, hashes[repeated]), True)
+    at = positions(own, bits)
+    seen = _get(once, at).all(axis=1)
+    _put(twice, at[again | seen].ravel())
+    _put(once, at[~seen].ravel())
+
+
+ROWS = "h bigint, g bigint, repeated boolean, leads boolean"
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, h, g, repeated, leads)`` for each row and distinct key of it."""
+    ids: list[pa.Array] = []
+    found: list[np.ndarray] = []
+    held = 0
 
+    def flushed() -> Iterator[pa.RecordBatch]:
+        both = np.concatenate(found)
+        _, first, where, counts = np.unique(both[:, 0], return_index=True, return_inverse=True, return_counts=True)
+        leads = np.zeros(len(both), bool)
+        leads[first] = True
+        columns = [pa.concat_arrays(ids), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(counts[where] > 1), pa.array(leads)]
+        whole = pa.RecordBatch.from_arrays(columns, ["id", "h", "g", "repeated", "leads"])
+        for k in range(0, len(both), 1 << 16):
+            yield whole.slice(k, 1 << 16)
+
+    for batch in batches:
+        rows: list[int] = []
+        keys: list[bytes] = []
+        for i, text in enumerate(batch.column(1)):
+            own = dict.fromkeys(k for k in line_keys(text.as_py() or b"") if k is not None)
+            rows += [i] * len(own)
+            keys += own
+        if keys:
+            ids.append(batch.column(0).take(pa.array(rows, pa.int64())))
+            found.append(digests(keys))
+            held += len(keys)
+        if held >= RUN:
+            yield from flushed()
+            ids, found, held = [], [], 0
+    if held:
+        yield from flushed()
+
+
+def _filters(bits: int):
+    """A range's leading rows ``(range, h, repeated)`` to its twice-seen filter."""
 
-def _partial_filters(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        once, twice, name = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), None
         for batch in batches:
-            for text in batch.column(0):
-                keys = list(dict.fromkeys(k for k in line_keys(text.as_py() or b"") if k is not None))
-                for k in range(0, len(keys), 1 << 16):
-                    add(once, twice, keys[k : k + (1 << 16)], bits)
-        pack = zstandard.ZstdCompressor(level=1).compress  # a task's filters are sparse
-        for k in range(bits // 8 // BLOCK):
-            a, b = once[k * BLOCK : (k + 1) * BLOCK], twice[k * BLOCK : (k + 1) * BLOCK]
-            if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pack(a.tobytes())], pa.binary()), pa.array([pack(b.tobytes())], pa.binary())], ["block", "once", "twice"])
+            if batch.num_rows:
+                name = batch.column(0)[0]
+                add(once, twice, batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), bits)
+        if name is not None:
+            packed = zstandard.ZstdCompressor(level=1).compress(twice.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.int32()), pa.array([packed], pa.binary())], ["range", "filter"])
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the blocks of this partition alone
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = np.frombuffer(unpack(a), np.uint8), np.frombuffer(unpack(b), np.uint8)
-            if k in held:
-                once, twice = held[k]
-                twice |= b | once & a
-                once |= a
-            else:
-                held[k] = a.copy(), b.copy()
-    for k, (_, twice) in held.items():
-        if twice.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([twice.tobytes()], pa.binary())], ["block", "twice"])
-
-
-def twice_filter(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
-    """The bits of keys that may occur in two rows. At most MAX_FILTER_BYTES reach the driver."""
-    blocks = bits // 8 // BLOCK
-    parts = docs.select(F.col(text_col).cast("binary")).mapInArrow(_partial_filters(bits), "block bigint, once binary, twice binary")
-    merged = parts.repartition(min(blocks, 256), "block").mapInArrow(_merged, "block bigint, twice binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for k, twice in merged.collect():
-        bitmap[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(twice, np.uint8)
-    return bitmap
-
-
-def _suspects(bits: int, shared):
+def _sifted(bits: int):
+    """Of a range's rows ``(filter, id, h, g)``, the filter first: those that may be repeated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.uint8)
+        twice = None
         for batch in batches:
-            rows, found = [], []
-            for i, text in enumerate(batch.column(1)):
-                keys = list(dict.fromkeys(k for k in line_keys(text.as_py() or b"") if k is not None))
-                for k in range(0, len(keys), 1 << 16):
-                    part = keys[k : k + (1 << 16)]
-                    for j in np.flatnonzero(_get(bitmap, positions(part, bits)).all(axis=1)).tolist():
-                        rows.append(i)
-                        found.append(part[j])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.binary())], ["id", "key"])
+            if twice is None and batch.num_rows:
+                twice = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column(0)[0].as_py(), max_output_size=bits // 8), np.uint8)
+                batch = batch.slice(1)
+            if batch.num_rows:
+                hit = _get(twice, positions(batch.column(2).to_numpy(), bits)).all(axis=1)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[1:]], ["id", "h", "g"])
 
     return run
 
 
+def suspects(hashes: DataFrame) -> DataFrame:
+    """``(id, h, g)`` of the rows ``(id, h, g, repeated, leads)`` that may share their hash with another id: all that do, and few others."""
+    lines = hashes.count()
+    ranges = ranges_for(lines)
+    bits = filter_bits(lines, ranges)
+    kind = hashes.schema["id"].dataType.simpleString()
+    dealt = hashes.where("leads").withColumn("range", F.shiftrightunsigned("h", 65 - ranges.bit_length()).cast("int"))
+    filters = dealt.select("range", "h", "repeated").repartitionById(ranges, F.col("range")).mapInArrow(_filters(bits), "range int, filter binary")
+    rest = dealt.where("not repeated").select("range", F.lit(None).cast("binary").alias("filter"), "id", "h", "g")
+    first = written(filters, "line-filters").select("range", "filter", F.lit(None).cast(kind).alias("id"), F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("g"))
+    both = first.unionByName(rest).repartitionById(ranges, F.col("range")).sortWithinPartitions(F.col("filter").isNull())
+    sifted = both.select("filter", "id", "h", "g").mapInArrow(_sifted(bits), f"id {kind}, h bigint, g bigint")
+    return written(hashes.where("repeated").select("id", "h", "g").unionByName(sifted), "suspects")
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines, dropped, texts = [], [], []
-        for text, gone in zip(batch.column("text"), batch.column("gone"), strict=True):
-            raw, gone = text.as_py(), gone.as_py()
+        for text, hs, gs in zip(batch.column("text"), batch.column("hs"), batch.column("gs"), strict=True):
+            raw = text.as_py()
             parts = (raw or b"").split(b"\n")
             stay = parts
-            if gone:
-                gone = set(gone)
-                stay = [x for x, k in zip(parts, line_keys(raw), strict=True) if k not in gone]
+            if hs.is_valid:
+                gone = set(zip(hs.as_py(), gs.as_py(), strict=True))
+                keys = line_keys(raw)
+                own = list(dict.fromkeys(k for k in keys if k is not None))
+                lost = {k for k, d in zip(own, digests(own).tolist(), strict=True) if tuple(d) in gone}
+                stay = [x for x, k in zip(parts, keys, strict=True) if k not in lost]
             lines.append(len(parts))
             dropped.append(len(parts) - len(stay))
             texts.append(raw if len(parts) == len(stay) else b"\n".join(stay))
-        rest = [c for c in batch.schema.names if c not in ("text", "gone")]
+        rest = [c for c in batch.schema.names if c not in ("text", "hs", "gs")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in rest), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()), pa.array([hashlib.sha256(t or b"").hexdigest() for t in texts])],
+            [*(batch.column(c) for c in rest), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()), pa.array([hashlib.sha256(t or b"").hexdigest() for t in texts], pa.string())],
             [*rest, "n_lines", "n_dropped", "kept", "kept_sha256"],
         )
 
@@ -163,36 +201,34 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     nor make others lose them. Rows with the same id are one document: its lines stay in each of them or go
     from each. An empty table gives an empty table. Columns with other names are not read unless carried.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     own = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if carry and rest else [])
     )
-    breaks = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
-    lines = own.select(F.sum(F.coalesce(breaks, F.lit(1))).alias("n")).first()["n"] or 0
-    bits = filter_bits(int(lines))
-    named = own.where(F.col("id").isNotNull())
-    shared = spark.sparkContext.broadcast(twice_filter(named, "text", bits).tobytes())
     kind = docs.schema[id_col].dataType.simpleString()
-    suspects = written(
-        named.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_suspects(bits, shared), f"id {kind}, key binary"), "suspects"
-    )
-    repeats = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last"))
-    repeats = written(repeats.select("key", "first"), "repeats")
+    named = own.where(F.col("id").isNotNull()).select("id", F.col("text").cast("binary").alias("text"))
+    some = suspects(written(named.mapInArrow(_hashed, f"id {kind}, {ROWS}"), "line-hashes"))
+    repeats = some.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last"))
+    repeats = written(repeats.select("h", "g", "first"), "repeats")
     # a document's losses meet in its own row only: bounded by its text
-    losses = suspects.join(repeats, "key").where(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set("key").alias("gone"))
+    losses = some.join(repeats, ["h", "g"]).where(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
+    losses = losses.select("id", F.col("gone.h").alias("hs"), F.col("gone.g").alias("gs"))
     losses = losses.withColumnRenamed("id", "loser").hint("shuffle_hash")
     joined = own.withColumn("text", F.col("text").cast("binary")).join(losses, F.col("id") == F.col("loser"), "left").drop("loser")
     row = f"row {docs.select(*[F.col(f'`{c}`') for c in rest]).schema.simpleString()}, " if carry and rest else ""
-    out = joined.select("id", *(["row"] if row else []), "text", "gone").mapInArrow(
+    out = joined.select("id", *(["row"] if row else []), "text", "hs", "gs").mapInArrow(
         _kept, f"id {kind}, {row}n_lines bigint, n_dropped bigint, kept binary, kept_sha256 string"
     )
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with the kept lines as texts; ``chars_col``, where there is one, is counted anew. All rows stay."""
+    """``docs`` with the kept lines as texts; ``chars_col``, where there is one, is counted anew.
+
+    All rows stay, those with null ids and null texts as they are, repeated ones each by itself; an empty table gives an empty
+    table. Columns of any name are carried.
+    """
     done = dedup(docs, id_col, text_col, carry=True)
     named = {id_col: F.col("id"), text_col: F.col("kept")}
     if chars_col in docs.columns:

@@ -3,8 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup
+from millrace.session import written
 
 SCHEMA = "doc_id bigint, text string, id string, key string, n_chars bigint"
 
@@ -40,32 +42,51 @@ def sample():
     return [*rows, (None, "shared line number 3\nshared line number 3"), (50, None), (51, ""), (52, "\n"), (7, rows[7][1]), (53, "only here it is\nonly here it is"), (54, "x" * 200_000), (55, "x" * 200_000)]
 
 
-@pytest.mark.parametrize("cap", [line_dedup.MAX_FILTER_BYTES, line_dedup.BLOCK])
-def test_equals_brute_force(spark, monkeypatch, cap):
-    monkeypatch.setattr(line_dedup, "MAX_FILTER_BYTES", cap)
+@pytest.mark.parametrize(("run", "lines", "ranges"), [(line_dedup.RUN, line_dedup.RANGE_LINES, line_dedup.RANGES), (1, 3, 1), (10, 1000, 2)])
+def test_equals_brute_force(spark, monkeypatch, run, lines, ranges):
+    monkeypatch.setattr(line_dedup, "RANGE_LINES", lines)
+    monkeypatch.setattr(line_dedup, "RANGES", ranges)
     rows = sample()
-    got = line_dedup.dedup(rows_of(spark, rows).repartition(5)).collect()
-    assert sorted((str(r.id), r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == brute(rows)
+    docs = rows_of(spark, rows).repartition(5)
+    assert sorted((str(r.id), r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup(docs).collect()) == brute(rows)
+
+
+def test_more_lines_than_a_filter_holds_make_more_ranges(spark, monkeypatch):
+    """Few lines are suspected without cause, however many there are."""
+    monkeypatch.setattr(line_dedup, "RANGE_LINES", 500)
+    monkeypatch.setattr(line_dedup, "RANGES", 2)
+    rows = [(i, "\n".join(f"line {i} {k} of its own" for k in range(100))) for i in range(300)] + [(1000 + i, "a line that many hold\nand one more") for i in range(50)]
+    docs = rows_of(spark, rows).repartition(4).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    hashes = written(docs.mapInArrow(line_dedup._hashed, f"id bigint, {line_dedup.ROWS}"), "hashes")
+    assert line_dedup.ranges_for(hashes.count()) == 64 and line_dedup.filter_bits(30_000, 64) == 1 << 13
+    found = line_dedup.suspects(hashes)
+    assert found.where("id >= 1000").count() == 100
+    assert found.where("id < 1000").count() < 0.05 * 30_000
+    # what was repeated within a run was not sent on
+    assert hashes.where("leads and repeated").count() <= 8
 
 
 def test_filter_never_misses_a_repeat():
     rng = random.Random(1)
-    bits = 1 << 12
-    parts = [(np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)) for _ in range(3)]
+    bits = 1 << 13
+    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     seen = {}
     for _ in range(60):
-        p = rng.randrange(3)
-        keys = [b"%d" % rng.randrange(300) for _ in range(10)]
-        keys = list(dict.fromkeys(keys))
-        line_dedup.add(*parts[p], keys, bits)
-        for k in keys:
-            seen[k] = seen.get(k, 0) + 1
-    once, twice = parts[0]
-    for a, b in parts[1:]:
-        twice |= b | once & a
-        once |= a
-    repeated = [k for k, n in seen.items() if n > 1]
-    assert line_dedup._get(twice, line_dedup.positions(repeated, bits)).all()
+        keys = [rng.randrange(300) for _ in range(10)]
+        known = np.array([k % 50 == 0 for k in keys])
+        line_dedup.add(once, twice, line_dedup.digests([b"%d" % k for k in keys])[:, 0].copy(), known, bits)
+        for k, twofold in zip(keys, known.tolist(), strict=True):
+            seen[k] = seen.get(k, 0) + 1 + twofold
+    hit = lambda keys: line_dedup._get(twice, line_dedup.positions(line_dedup.digests([b"%d" % k for k in keys])[:, 0].copy(), bits)).all(axis=1)
+    assert hit([k for k, n in seen.items() if n > 1]).all()
+    assert hit(range(1000, 11_000)).mean() < 0.05
+
+
+def test_columns_with_the_names_of_the_operators_own(spark):
+    names = ["doc_id", "text", "id", "h", "g", "hs", "gs", "row", "gone", "loser", "kept", "range"]
+    rows = [(i, f"a line of both\nand one of {i}", *names[2:]) for i in range(2)]
+    out = line_dedup.without_repeats(spark.createDataFrame(rows, names))
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], (1, "and one of 1", *names[2:])]
 
 
 def test_stage_keeps_columns_and_empty_table(spark):
