@@ -1,8 +1,8 @@
 """WARC archives with an index: offset, length, URL and digest of each record, written before anything reads the archives.
 
 Tasks write one archive each, a gzip member per record, and hand over the index rows; the index, as a table, names
-only the files of the attempts that counted. A reader sorts the selected index rows by file and offset, joins neighbouring
-byte ranges into one read up to a bound, and takes the records out of what it has read.
+only the files of the attempts that counted. Readers share the selected index rows by the bytes that they name, sort them by file and offset, join neighbouring
+byte ranges into one read up to a bound, and take the records out of what they have read.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT = 100
 #: Ranges of one file no further apart than GAP are read at once, up to READ bytes.
 GAP, READ = 64 << 10, 8 << 20
+#: Reading tasks share files by stretches of SPLIT bytes and take about TASK_BYTES each, or less if there would be too few tasks for the cores.
+SPLIT, TASK_BYTES, TASKS_A_CORE = 1 << 20, 64 << 20, 4
 DATE = "1970-01-01T00:00:00Z"
 SUFFIX = ".warc.gz"
 
@@ -179,10 +181,14 @@ def _read(with_payload: bool):
 def read_archives(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the rows of ``index`` name: page, URL (percent-encoded), digest, payload size, type, referred page, payload.
 
-    Rows are dealt by ranges of file and offset and sorted, so that a task reads its files forwards. Payloads are
-    verified; a revisit's is null, its digest and size are those of the whole payload. Rows named twice come twice.
+    Rows are dealt by file and stretch of SPLIT bytes, so by the bytes that are to be read and not by the size of index rows, and
+    sorted, so that a task reads its files forwards. Payloads are verified; a revisit's is null, its digest and size are those of
+    the whole payload. Rows named twice come twice, other columns are not read, an empty index gives an empty table.
     """
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    own = index.select("file", "offset", "length", F.floor(F.col("offset") / SPLIT).alias("stretch"))
+    sums = own.groupBy("file", "stretch").agg(F.sum("length").alias("bytes")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = min(sums["n"], max(TASKS_A_CORE * index.sparkSession.sparkContext.defaultParallelism, (sums["bytes"] or 0) // TASK_BYTES))
+    ordered = own.repartition(max(1, tasks), "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return ordered.mapInArrow(_read(with_payload), RECORDS)
 
 
