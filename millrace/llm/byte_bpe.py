@@ -1,11 +1,11 @@
 """Byte-level BPE by overlapping chunks, and its decoding.
 
-Texts up to a chunk are encoded as they are. A longer text is cut into chunks that overlap. Chunks are dealt out,
-pre-tokenised and their pieces encoded on their own. A chunk's first pieces may be wrong, as it begins anywhere, and
-its last ones, as they do not see what follows. Matching has no memory beyond the place it is at: where a boundary
-of the piece sequence so far is also a boundary of the next chunk, the two agree from there on. The stitching of a
-document therefore takes each chunk's pieces from one such place to the next. Where an overlap has none, as within a word
-longer than the overlap, the text is matched on from the last sure boundary until it meets one of a later chunk.
+A text is cut into chunks that overlap; chunks are pre-tokenised and their pieces encoded on their own, and those of long texts are
+dealt out. A chunk's first pieces may be wrong, as it begins anywhere, and its last ones, as they do not see what follows.
+Matching has no memory beyond the place it is at: where a boundary of the piece sequence so far is also a boundary of the next
+chunk, the two agree from there on. The stitching of a document therefore takes each chunk's pieces from one such place to
+the next. Where an overlap has none, as within a word longer than the overlap, the text is matched on from the last sure boundary until
+it meets one of a later chunk.
 
 Decoding puts the tokens' raw bytes together.
 """
@@ -16,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from millrace.session import ship
 
 #: Code points of a chunk without its overlap, and of the overlap.
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 2_048, 256
+#: Chunks of a text that one task encodes; those of longer texts are dealt out, so many of them at a time.
+DEALT = 16
 #: A boundary is sure if this many more code points are in sight: the longest fixed alternative has three.
 SIGHT = 3
 #: Encoded pieces kept by a worker.
@@ -73,13 +76,14 @@ class ByteEncoder:
 
     def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ends of the matches, ids of each, all ids."""
-        ends, counts, ids = [], [], []
-        for m in self.pattern.finditer(text):
-            got = self.piece(m[0])
-            ends.append(m.end())
-            counts.append(len(got))
-            ids += got
-        return np.array(ends, np.int64), np.array(counts, np.int64), np.array(ids, self.kind)
+        parts = [m[0] for m in self.pattern.finditer(text)] if self.pattern.groups else self.pattern.findall(text)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        if len(text) != (int(ends[-1]) if len(parts) else 0):  # a pattern that passes over something
+            ends = np.array([m.end() for m in self.pattern.finditer(text)], np.int64)
+        known = self.cache.get
+        got = [known(p) or self.piece(p) for p in parts]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        return ends, counts, np.fromiter(chain.from_iterable(got), self.kind, int(counts.sum()))
 
     def decode(self, raw: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(raw, self.kind).tolist()))
@@ -105,9 +109,31 @@ def stitch(chunks: list[tuple], tool: ByteEncoder) -> np.ndarray:
     length = chunks[-1][0] + len(chunks[-1][1])
     out: list[np.ndarray] = []
 
-    def text_from(k: int) -> tuple[int, str]:
-        rest = [t[: b - a] for (a, t, *_), (b, *_) in zip(chunks[k:], chunks[k + 1 :], strict=False)]
-        return chunks[k][0], "".join([*rest, chunks[-1][1]])
+    def matched_on(k: int, to: int) -> tuple[list[int], int, int]:
+        """Ids from ``to`` on, up to a boundary that a later chunk has too: that place and the chunk. Looks at twice as much text until there is one."""
+        span = 8
+        while True:
+            near = chunks[k : k + span]
+            whole = k + span >= len(chunks)
+            base = near[0][0]
+            rest = "".join([*(t[: b[0] - a] for (a, t, *_), b in zip(near, near[1:], strict=False)), near[-1][1]])
+            marks: dict[int, int] = {}  # boundaries of later chunks: the last chunk that has them
+            extra: list[int] = []
+            later, done = 1, to
+            for m in tool.pattern.finditer(rest, to - base):
+                done = base + m.end()
+                if not whole and m.end() + SIGHT > len(rest):
+                    break
+                extra += tool.piece(m[0])
+                while later < len(near) and near[later][0] <= done:
+                    marks |= dict.fromkeys((near[later][2] + near[later][0]).tolist(), later) | {near[later][0]: later}
+                    later += 1
+                if done in marks and (done + SIGHT <= near[marks[done]][0] + len(near[marks[done]][1]) or k + marks[done] == len(chunks) - 1):
+                    return extra, done, k + marks[done]
+            else:
+                if whole:
+                    return extra, length, len(chunks) - 1
+            span *= 2
 
     at, k = 0, 0  # all before ``at`` is done; ``at`` is a boundary of chunk k
     while at < length:
@@ -131,23 +157,8 @@ def stitch(chunks: list[tuple], tool: ByteEncoder) -> np.ndarray:
             to = int(sure[-1])
         out.append(ids[ids_before[here] : ids_before[int(np.searchsorted(places, to))]])
         if not len(common):
-            base, rest = text_from(k)
-            marks = {}  # boundaries of a later chunk: the last chunk that has them
-            extra: list[int] = []
-            later = k + 1
-            done = to
-            for m in tool.pattern.finditer(rest, to - base):
-                extra += tool.piece(m[0])
-                done = base + m.end()
-                while later < len(chunks) and chunks[later][0] <= done:
-                    marks |= dict.fromkeys((chunks[later][2] + chunks[later][0]).tolist(), later) | {chunks[later][0]: later}
-                    later += 1
-                if done in marks and (done + SIGHT <= chunks[marks[done]][0] + len(chunks[marks[done]][1]) or marks[done] == len(chunks) - 1):
-                    break
+            extra, to, k = matched_on(k, to)
             out.append(np.array(extra, tool.kind))
-            if done >= length:
-                break
-            k, to = marks[done], done
         at = to
     return np.concatenate(out) if out else np.empty(0, tool.kind)
 
@@ -156,11 +167,13 @@ def _binary(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
 
-def _whole(path: str, pattern: str):
+def _here(path: str, pattern: str, chunk: int, overlap: int):
+    """Texts of few chunks: their chunks are encoded and stitched by the task that has them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, pattern)
         for batch in batches:
-            ids = [np.array(tool.encoding.encode_ordinary(t.as_py() or ""), tool.kind) for t in batch.column(1)]
+            ids = [stitch([(start, part, *tool.pieces(part)) for _, start, part in cut(t.as_py() or "", chunk, overlap)], tool) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(ids)], ["id", "ids"])
 
     return run
@@ -201,18 +214,20 @@ def _stitched(path: str, pattern: str):
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, dealt: int = DEALT) -> DataFrame:
     """``(id, ids)`` for each row: the ids, without special tokens, as little-endian numbers of 16 bits (32 for larger vocabularies).
 
-    A null or empty text has no ids. Rows are encoded one by one, so repeated rows and ids, and null ids, come out as
-    they went in; an empty table gives an empty table. Other columns are not read.
+    Every text goes through chunks and stitching. The chunks of a text of more than ``dealt`` chunks are dealt out to tasks; those of
+    others stay together, as their shuffle would cost more than their encoding. A null or empty text has no ids. Rows are encoded
+    one by one, so repeated rows and ids, and null ids, come out as they went in; an empty table gives an empty table. Other
+    columns are not read.
     """
     ship(docs.sparkSession)
     how = (path or default_path(), pattern or default_pattern())
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
-    short_ids = own.where(~long).mapInArrow(_whole(*how), f"id {kind}, ids binary")
+    long = F.coalesce(F.length("text"), F.lit(0)) > chunk * dealt + overlap
+    short_ids = own.where(~long).mapInArrow(_here(*how, chunk, overlap), f"id {kind}, ids binary")
     row = f"row bigint, id {kind}, k int, start bigint, text string"
     chunks = own.where(long).select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(_cut(chunk, overlap), row)
     coded = chunks.repartition("row", "k").mapInArrow(_encoded(*how), f"{row}, ends binary, counts binary, ids binary")
@@ -225,12 +240,13 @@ def _digests(path: str, pattern: str):
         tool = encoder(path, pattern)
         for batch in batches:
             raw = [x.as_py() for x in batch.column(1)]
+            told = lambda f: [None if x is None else f(x) for x in raw]  # noqa: B023,E731
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(x) // tool.kind.itemsize for x in raw], pa.int64()),
-                    pa.array([hashlib.sha256(tool.decimal(x)).hexdigest() for x in raw]),
-                    pa.array([hashlib.sha256(tool.decode(x)).hexdigest() for x in raw]),
+                    pa.array(told(lambda x: len(x) // tool.kind.itemsize), pa.int64()),
+                    pa.array(told(lambda x: hashlib.sha256(tool.decimal(x)).hexdigest()), pa.string()),
+                    pa.array(told(lambda x: hashlib.sha256(tool.decode(x)).hexdigest()), pa.string()),
                 ],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
@@ -239,7 +255,11 @@ def _digests(path: str, pattern: str):
 
 
 def digests(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)`` of encoded rows: of the decimal ids and of the decoded bytes."""
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` of encoded rows: of the decimal ids and of the decoded bytes.
+
+    Null ``ids`` give nulls, empty ones the digests of nothing. Every row is told by itself, null and repeated ids too; an empty table
+    gives an empty table. Other columns are not read.
+    """
     kind = encoded.schema["id"].dataType.simpleString()
     return encoded.select("id", "ids").mapInArrow(
         _digests(path or default_path(), pattern or default_pattern()), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -250,12 +270,15 @@ def _decoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.decode(x.as_py()) for x in batch.column(1)], pa.binary())], ["id", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_py() if not x.is_valid else tool.decode(x.as_py()) for x in batch.column(1)], pa.binary())], ["id", "bytes"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``(id, bytes)``: the raw bytes of the tokens, put together."""
+    """``(id, bytes)``: the raw bytes of the tokens, put together; null for null ``ids``, empty for empty ones.
+
+    Rows are decoded one by one, whatever repeats; an empty table gives an empty table. Other columns are not read.
+    """
     kind = encoded.schema["id"].dataType.simpleString()
     return encoded.select("id", "ids").mapInArrow(_decoded(path or default_path(), pattern or default_pattern()), f"id {kind}, bytes binary")

@@ -1,5 +1,6 @@
 import io
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -57,12 +58,24 @@ def test_byte_bpe_tables(spark, sf, reference):
     tool, whole = reference
     rows = [(i, t, "x", "y", "z") for i, t in enumerate([None, *ODD, *texts(spark, sf)[:20]])] + [(None, "null id", "x", "y", "z"), (3, "twice", "x", "y", "z"), (3, "twice", "x", "y", "z")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    encoded = byte_bpe.encode(docs, chunk=200, overlap=30)
-    got = sorted((str(r.id), np.frombuffer(r.ids, tool.kind).tolist()) for r in encoded.collect())
-    assert got == sorted((str(r[0]), whole.encode_ordinary(r[1] or "")) for r in rows)
+    for dealt in (1, 4, 1000):
+        encoded = byte_bpe.encode(docs, chunk=200, overlap=30, dealt=dealt)
+        got = sorted((str(r.id), np.frombuffer(r.ids, tool.kind).tolist()) for r in encoded.collect())
+        assert got == sorted((str(r[0]), whole.encode_ordinary(r[1] or "")) for r in rows)
     decoded = sorted((str(r.id), bytes(r.bytes)) for r in byte_bpe.decode(encoded).collect())
     assert decoded == sorted((str(r[0]), (r[1] or "").encode()) for r in rows)
     assert byte_bpe.digests(byte_bpe.encode(spark.createDataFrame([], SCHEMA))).collect() == []
+    odd = spark.createDataFrame([(1, None), (2, b"")], "id bigint, ids binary")
+    assert [r.bytes for r in byte_bpe.decode(odd).orderBy("id").collect()] == [None, b""]
+    assert [(r.n_tokens, r.ids_sha256 is None, r.decoded_sha256 is None) for r in byte_bpe.digests(odd).orderBy("id").collect()] == [(None, True, True), (0, False, False)]
+
+
+def test_words_longer_than_the_overlap_cost_in_proportion(reference):
+    tool, whole = reference
+    text = " ".join("x" * (300 + k % 7) for k in range(8000))  # no chunk has a boundary in common with the next
+    began = time.time()
+    assert chunked(tool, text, 2048, 256) == whole.encode_ordinary(text)
+    assert time.time() - began < 60
 
 
 def test_token_file_is_seekable_and_checked(monkeypatch):
