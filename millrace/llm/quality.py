@@ -5,8 +5,9 @@ with their host, the distinct documents that hold each are counted, lines above
 that keep too little are rejected. Exact copies of a text are one document for the count, so that a document
 is no boilerplate merely because it was crawled often.
 
-Counting distinct documents of every line would shuffle every line twice. Rows are counted first, which adds up before
-the shuffle; only lines whose rows pass the limit can pass it in distinct documents, and only those are counted by text.
+Lines are hashed once, into a table of hashes that all later steps read. Counting distinct documents of every line would
+shuffle every line twice. Rows are counted first, which adds up before the shuffle; only lines whose rows pass the limit can pass it
+in distinct documents, and only those are counted by document.
 """
 
 from __future__ import annotations
@@ -110,36 +111,35 @@ def line_hash(host: Column, line: Column) -> Column:
     return let(normalised(line), lambda x: F.when(F.length(x) >= MIN_LINE, F.xxhash64(host, x)))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each distinct judged line of each row of ``(host, text)``, with the hash of the text."""
-    hashes = let(
-        F.struct("host", "text"),
-        lambda d: F.array_distinct(F.filter(F.transform(F.split(d["text"], "\n", -1), lambda x: line_hash(d["host"], x)), lambda h: h.isNotNull())),
-    )
-    return docs.select("host", F.xxhash64("text").alias("content"), F.explode(hashes).alias("h"))
+def _line_table(own: DataFrame, unit: str) -> DataFrame:
+    """``(host, key, unit, i, h)`` for each judged line of each row of ``(host, key, text, unit)`` that is long enough for one, or a row without ``i`` and ``h``: a written table."""
+    hashed = let(F.struct("host", F.split("text", "\n", -1).alias("lines")), lambda d: F.transform(d["lines"], lambda x, i: F.struct(i.alias("i"), line_hash(d["host"], x).alias("h"))))
+    judged = F.filter(hashed, lambda x: x["h"].isNotNull())
+    some = own.where(F.length("text") >= MIN_LINE)
+    rows = some.select("host", "key", F.col(unit).alias("unit"), F.explode_outer(judged).alias("line"))
+    return written(rows.select("host", "key", "unit", "line.i", "line.h"), "line-hashes")
 
 
-def frequent_lines(docs: DataFrame) -> DataFrame:
-    """Hashes ``h`` of boilerplate lines of ``(host, text)``, host a long, as a written table."""
-    some = docs.where(F.length("text") >= MIN_LINE)
-    by_text = some.groupBy("host", F.xxhash64("text").alias("content")).agg(F.lit(1).alias("one"))
-    hosts = by_text.groupBy("host").agg(F.count("*").alias("texts"))
-    most = F.greatest(F.lit(MAX_LINE_DOCS), F.floor(F.col("texts") * MAX_LINE_SHARE)).alias("most")
+def frequent_lines(lines: DataFrame) -> DataFrame:
+    """Hashes ``h`` of boilerplate lines of a line table, as a written table."""
+    hosts = lines.select("host", "unit").distinct().groupBy("host").agg(F.count("unit").alias("units"))
+    most = F.greatest(F.lit(MAX_LINE_DOCS), F.floor(F.col("units") * MAX_LINE_SHARE)).alias("most")
     hosts = written(hosts.select(F.col("host").alias("owner"), most), "hosts")
-    lines = _lines(some)
-    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("host").alias("host")).where(F.col("n") > MAX_LINE_DOCS)
+    own = lines.where(F.col("h").isNotNull())
+    often = own.groupBy("h").agg(F.count("*").alias("n"), F.min("host").alias("host")).where(F.col("n") > MAX_LINE_DOCS)
     often = written(often.join(hosts, F.col("host") == F.col("owner")).where(F.col("n") > F.col("most")).select("h", "most"), "often")
-    texts = lines.select("h", "content").join(often, "h").groupBy("h", "most").agg(F.count_distinct("content").alias("texts"))
-    return written(texts.where(F.col("texts") > F.col("most")).select("h"), "boilerplate")
+    units = own.select("h", "unit").join(often, "h").groupBy("h", "most").agg(F.count_distinct("unit").alias("units"))
+    return written(units.where(F.col("units") > F.col("most")).select("h"), "boilerplate")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False, copies_count: bool = False) -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)`` for each row of ``docs``.
 
-    ``kept`` is false for documents that fail a base rule or are depleted of lines. With ``carry``, ``row`` holds the
-    other columns and ``kept_text`` the text without boilerplate lines (null for a null text). A null or empty text has
-    no words and fails. Rows with a null host share one host. Rows are judged one by one, so repeated rows
-    and ids and null ids come out as they went in; an empty table gives an empty table.
+    ``kept`` is false for documents that fail a base rule or are depleted of lines. A line's and a host's documents are counted
+    by their texts, or with ``copies_count`` by their ids, so that copies of a text count one by one (rows with a null id do not
+    count then). With ``carry``, ``row`` holds the other columns and ``kept_text`` the text without boilerplate lines (null for a
+    null text). A null or empty text has no words and fails. Rows with a null host share one host. Rows are judged one by one, so
+    repeated rows and ids and null ids come out as they went in; an empty table gives an empty table.
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     own = docs.select(
@@ -148,7 +148,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         F.xxhash64(F.col(f"`{host_col}`").cast("string")).alias("host"),
         *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if carry else []),
     )
-    bad = frequent_lines(own.select("host", "text"))
+    # what a document loses follows from its host and text, so these name it, whatever order rows come in
+    own = own.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", "host", "text"))))
+    lines = _line_table(own, "id" if copies_count else "key")
+    bad = frequent_lines(lines)
     n_bad = bad.count()
     extra = ["row", "kept_text"] if carry else []
     lead = ["id", *(["row"] if carry else [])]
@@ -156,16 +159,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         out = own.select(*lead, *([F.col("text").alias("kept_text")] if carry else []), *base_columns(F.col("text")))
         out = _with_verdict(out, ["id", *extra])
         return out.withColumn("kept", ~F.col("base_failed"))
-    # what a document loses follows from its host and text, so these name it, whatever order rows come in
-    own = own.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", "host", "text"))))
     parts = F.transform(
         F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.length(F.translate(x, SPACE, "")).cast("bigint").alias("chars"))
     )
-    hashed = let(F.struct("host", F.split("text", "\n", -1).alias("lines")), lambda d: F.transform(d["lines"], lambda x: line_hash(d["host"], x)))
-    lines = own.select("key", F.posexplode(hashed).alias("i", "h")).where(F.col("h").isNotNull())
     if n_bad <= MAX_BROADCAST_LINES:
         bad = F.broadcast(bad)
-    hit = lines.join(bad, "h")
+    hit = lines.select("key", "i", "h").where(F.col("h").isNotNull()).join(bad, "h")
     # one text's removed lines meet, bounded by the text; equal texts name the same ones
     lost = written(hit.groupBy(F.col("key").alias("loser")).agg(F.collect_set("i").alias("gone")), "lost")
     joined = own.join(lost.hint("shuffle_hash"), F.col("key") == F.col("loser"), "left")
@@ -189,7 +188,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
-    """The kept rows of ``docs``, without boilerplate lines; ``chars_col``, where there is one, is counted anew."""
+    """The kept rows of ``docs``, without boilerplate lines; ``chars_col``, where there is one, is counted anew.
+
+    Null and empty texts go, as they have no words; rows with null or repeated ids and null hosts are judged like any other; an
+    empty table gives an empty table. Columns of any name are carried.
+    """
     done = judge(docs, id_col, text_col, host_col, carry=True).where("kept")
     named = {id_col: F.col("id"), text_col: F.col("kept_text")}
     if chars_col in docs.columns:

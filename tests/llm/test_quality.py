@@ -84,3 +84,11 @@ def test_without_boilerplate_and_empty(spark):
     rows = [(1, "a few words that are enough to pass the limit of ten", "h"), (2, None, None)]
     got = quality.judge(spark.createDataFrame([(i, t, h, "", "", 0) for i, t, h in rows], SCHEMA)).collect()
     assert {r.id: r.kept for r in got} == {1: True, 2: False}
+
+
+def test_copies_count_by_id_where_asked(spark):
+    text = "a line that all copies of this text hold\nand a second line with words enough to pass"
+    rows = [(i, text, "h", "", "", 0) for i in range(30)] + [(i, f"one of its own {'abcdefghij'[i % 10] * (i - 90)} and so on", "h", "", "", 0) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = lambda **how: {r.id for r in quality.judge(docs, **how).where("kept").collect()}
+    assert set(range(30)) <= kept() and not set(range(30)) & kept(copies_count=True)
