@@ -16,6 +16,7 @@ from millrace.plans import scoring
 from millrace.session import local_session
 from millrace.sources import models
 from millrace.sources.kvtext import report
+from millrace.sources.register import register_sources
 from millrace.streaming import http
 
 PROVIDER = "spark"
@@ -115,7 +116,7 @@ def _eval(args) -> int:
     config = settings(args)
     model, changes = prepared(config)
     spark = local_session(config.intra_op_threads if args.threads else "*")
-    spark.dataSource.register(models.ImageSet)
+    register_sources(spark)
     levels = list(model.graph.levels().values())
     parallel = sum(levels.count(k) > 1 for k in set(levels))
     print(f"Graph optimization: {changes}\nSchedule: {len(set(levels))} levels, {parallel} parallelizable\nProvider: {PROVIDER} | gemm: {config.gemm_strategy} | batch: {args.batch}")
@@ -130,7 +131,7 @@ def _eval(args) -> int:
 def _bench(args) -> int:
     config = settings(args)
     spark = local_session(1)
-    spark.dataSource.register(models.ImageSet)
+    register_sources(spark)
     images = stats.prefix_sample(spark.read.format("imageset").load(args.dataset)).cache()
     for on in (False, True):
         config.graph_optimization = on

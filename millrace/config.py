@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, fields
 from datetime import datetime
@@ -13,7 +14,7 @@ KERNELS = ("naive", "reordered", "tiled", "packed", "auto")
 
 @dataclass
 class JobConfig:
-    """A job's settings. Sizes and timeouts that Spark governs by itself are checked and passed on as Spark settings."""
+    """A job's settings; their names, defaults and least values are fixed values. Sizes and timeouts that Spark governs by itself are checked and passed on as Spark settings."""
 
     input_dir: str = ""
     root: str = "work"
@@ -33,18 +34,20 @@ class JobConfig:
     max_attempts: int = 4
 
     def validate(self) -> None:
+        """Whether ``input_dir`` is there is told by the reader of files, which knows any store; a local path that is a file is refused here."""
         if self.mode not in MODES:
             raise ValueError(f"unknown mode {self.mode!r}")
         if self.mode != "worker":
             if not self.input_dir:
                 raise ValueError("input_dir is required")
-            for name, least in (("num_mappers", 1), ("num_reducers", 1), ("spill_bytes", 1024), ("max_attempts", 1)):
-                if getattr(self, name) < least:
-                    raise ValueError(f"{name} must be at least {least}")
-            if self.backup_threshold < 1:
-                raise ValueError("backup_threshold must be at least 1")
-        if self.mode in ("local", "cluster") and self.workers < 1:
-            raise ValueError("workers must be at least 1")
+            if os.path.isfile(self.input_dir):
+                raise ValueError(f"input_dir {self.input_dir!r} is no folder")
+            for name in ("num_mappers", "num_reducers"):
+                if getattr(self, name) < 1:
+                    raise ValueError(f"{name} must be at least 1")
+        for name, least in (("spill_bytes", 1024), ("workers", 1), ("backup_threshold", 1), ("max_attempts", 1)):
+            if getattr(self, name) < least:
+                raise ValueError(f"{name} must be at least {least}")
         if self.task_timeout_s <= 0 or self.worker_timeout_s <= self.heartbeat_s:
             raise ValueError("timeouts must be positive and longer than a heartbeat")
 
@@ -70,6 +73,9 @@ class JobConfig:
             "spark.task.maxFailures": str(self.max_attempts),
             "spark.executor.heartbeatInterval": f"{int(self.heartbeat_s * 1000)}ms",
             "spark.network.timeout": f"{max(int(self.worker_timeout_s * 1000), 10_000)}ms",
+            # Spark has no time limit of a task; one that is killed as a backup's loser, or with its job, is made to end after this long
+            "spark.task.reaper.enabled": "true",
+            "spark.task.reaper.killTimeout": f"{max(int(self.task_timeout_s * 1000), 1)}ms",
         }
 
 
@@ -78,20 +84,20 @@ def parse_bool(value: str, key: str = "") -> bool:
         return True
     if value in ("false", "0", "no"):
         return False
-    raise ValueError(f"{key}: expected a boolean, got {value!r}")
+    raise ValueError(f"{key} is {value!r}, which is neither true nor false")
 
 
 def parse_size(value: str, key: str = "") -> int:
     """A non-negative number; like the C library, what follows its digits is not read."""
     found = re.match(r"\s*\+?(\d+)", value)
     if not found or int(found[1]) > 2**63 - 1:
-        raise ValueError(f"{key}: expected a non-negative integer, got {value!r}")
+        raise ValueError(f"{key} is {value!r}, which is no whole number from 0 on")
     return int(found[1])
 
 
 @dataclass
 class SessionConfig:
-    """A scoring session's settings. Threads, pool and address are accepted and checked; Spark has its own."""
+    """A scoring session's settings; their names, defaults and ranges are fixed values. Threads, pool and address are accepted and checked; Spark has its own."""
 
     name: str = "session"
     model_path: str = ""
@@ -109,14 +115,14 @@ class SessionConfig:
 
     def validate(self) -> None:
         if not self.model_path:
-            raise ValueError("model_path must be set")
+            raise ValueError("there is no model_path")
         for name, most in (("max_batch_size", 4096), ("intra_op_threads", 256), ("http_port", 65535)):
             if not 1 <= getattr(self, name) <= most:
                 raise ValueError(f"{name} must be between 1 and {most}")
         if self.gemm_strategy not in KERNELS:
-            raise ValueError(f"unknown gemm strategy: {self.gemm_strategy}")
+            raise ValueError(f"gemm_strategy is {self.gemm_strategy!r} and not one of {', '.join(KERNELS)}")
         if self.execution_provider != "cpu":
-            raise ValueError(f"unsupported execution_provider: {self.execution_provider}")
+            raise ValueError(f"execution_provider is {self.execution_provider!r}; there is cpu only")
 
     @classmethod
     def parse(cls, text: str) -> SessionConfig:

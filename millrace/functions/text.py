@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 ASCII_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 WORD = ASCII_BOUNDARY + r"[\p{L}\p{N}']+" + ASCII_BOUNDARY
 
+# Fixed value: the characters with the White_Space property of Unicode, in a syntax that Java and RE2 read alike.
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 # Fixed values of 32-bit FNV-1a.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
@@ -19,8 +22,8 @@ def word_tokens(line: Column) -> Column:
 
 
 def fields(line: Column) -> Column:
-    """The lower-cased line's parts between white space."""
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+    """The lower-cased line's parts between Unicode white space."""
+    return F.filter(F.split(F.lower(line), f"{SPACE}+"), lambda w: w != "")
 
 
 def lines(text: Column) -> Column:

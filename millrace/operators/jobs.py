@@ -88,6 +88,11 @@ def reduce_python(pairs: DataFrame, reducer: Reducer, partitions: int | None = N
 
     Pairs are dealt by key and sorted by key and value within partitions, so a task sees each of its keys as one run.
     """
+    return _reduce_marked(pairs, reducer, partitions).where("n is null").select("key", "value")
+
+
+def _reduce_marked(pairs: DataFrame, reducer: Reducer, partitions: int | None) -> DataFrame:
+    """``(key, value, n)``: what the reducer gives, without ``n``; and a row for each key with the number of its values."""
     ship(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,21 +102,37 @@ def reduce_python(pairs: DataFrame, reducer: Reducer, partitions: int | None = N
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        out: list[KeyValue] = []
+        def marked(found: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["key", "value", "n"])
+
+        out: list[tuple] = []
         for key, run_ in groupby(rows(), key=lambda p: p[0]):
-            for value in reducer(key, (v for _, v in run_)):
-                out.append((key, value))
+            seen = 0
+
+            def values(run_=run_) -> Iterator[str]:
+                nonlocal seen
+                for _, v in run_:
+                    seen += 1
+                    yield v
+
+            mine = values()
+            for value in reducer(key, mine):
+                out.append((key, value, None))
                 if len(out) >= 10_000:
-                    yield _pairs(out)
+                    yield marked(out)
                     out = []
-        yield _pairs(out)
+            for _ in mine:  # values that the reducer left
+                pass
+            out.append((key, None, seen))
+        yield marked(out)
 
     dealt = pairs.select("key", "value")
     if partitions:
         dealt = dealt.withColumn("_p", partition_id(F.col("key"), partitions)).repartitionById(partitions, F.col("_p")).drop("_p")
     else:
         dealt = dealt.repartition("key")
-    return dealt.sortWithinPartitions("key", "value").mapInArrow(run, RECORD)
+    return dealt.sortWithinPartitions("key", "value").mapInArrow(run, f"{RECORD}, n bigint")
 
 
 @dataclass
@@ -138,35 +159,50 @@ class Job:
     reducer: Reducer | None = None
     combiner: Combiner | None = None
 
-    def plan(self, lines: DataFrame) -> tuple[DataFrame, dict[str, Observation]]:
-        """The plan, and A8's counters, each observed where its rows pass; A9: those of a retried task count once."""
-        seen = {"map.input_records": Observation("input"), "map.emitted": Observation("emitted"), "reduce.emitted": Observation("reduced")}
-        one = F.count(F.lit(1)).alias("n")
-        lines = lines.observe(seen["map.input_records"], one)
+    def plan(self, lines: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+        """The plan, and what gives A8's counters when it has run, each observed where its rows pass; A9: those of a retried task count once.
+
+        Rows of a job of Python functions come out in their partitions and in order.
+        """
+        seen: dict[str, Observation] = {}
+
+        def watched(df: DataFrame, at: str, **counts: Column) -> DataFrame:
+            seen[at] = Observation(at)
+            return df.observe(seen[at], *[c.alias(n) for n, c in ({"n": F.count(F.lit(1))} | counts).items()])
+
+        def told() -> dict[str, int]:
+            got = {at: o.get for at, o in seen.items()}
+            out = {"map.input_records": got["lines"]["n"], "map.emitted": got["pairs"]["n"]}
+            if "combined" in got:
+                out |= {"combine.in": got["pairs"]["n"], "combine.out": got["combined"]["n"], "map.output_records": got["combined"]["n"]}
+            if "marked" in got:
+                return out | {"reduce.keys": got["marked"]["keys"], "reduce.values": got["marked"]["held"] or 0, "reduce.emitted": got["marked"]["n"] - got["marked"]["keys"]}
+            # an aggregate gives one value a key, of all the pairs
+            return out | {"reduce.keys": got["reduced"]["n"], "reduce.values": got["pairs"]["n"], "reduce.emitted": got["reduced"]["n"]}
+
+        lines = watched(lines, "lines")
         if self.map_key is not None:
-            pairs = map_columns(lines, self.map_key(F.col("value"))).observe(seen["map.emitted"], one)
-            out = reduce_columns(pairs, self.aggregate(F.col("value")))
-        elif self.mapper is not None and self.reducer is not None:
-            pairs = map_python(lines, self.mapper).observe(seen["map.emitted"], one)
-            if self.combiner is not None:
-                pairs = combine_python(pairs, self.combiner)
-                seen["map.output_records"] = Observation("combined")
-                pairs = pairs.observe(seen["map.output_records"], one)
-            out = reduce_python(pairs, self.reducer, self.config.num_reducers)
-        else:
+            pairs = watched(map_columns(lines, self.map_key(F.col("value"))), "pairs")
+            return watched(reduce_columns(pairs, self.aggregate(F.col("value"))), "reduced"), told
+        if self.mapper is None or self.reducer is None:
             raise ValueError("a job needs map_key, or a mapper and a reducer")
-        return out.observe(seen["reduce.emitted"], one), seen
+        pairs = watched(map_python(lines, self.mapper), "pairs")
+        if self.combiner is not None:
+            pairs = watched(combine_python(pairs, self.combiner), "combined")
+        marked = watched(_reduce_marked(pairs, self.reducer, self.config.num_reducers), "marked", keys=F.count("n"), held=F.sum("n"))
+        return marked.where("n is null").select("key", "value"), told
 
     def run(self, spark: SparkSession) -> JobResult:
+        """The reducers of a job of Python functions write what they give; an aggregate's rows are dealt to the partitions of their keys first."""
         self.config.validate()
         began = time.time()
         job_id = self.config.resolve_job_id()
         list_input_files(spark, self.config.input_dir)
-        out, seen = self.plan(read_lines(spark, self.config.input_dir))
+        out, told = self.plan(read_lines(spark, self.config.input_dir))
         folder = f"{self.config.root}/{job_id}/out"
-        write_records(out, folder, self.config.num_reducers)
+        write_records(out, folder, self.config.num_reducers, dealt=self.map_key is None)
         files = [f for f in list_input_files(spark, folder) if "/part-" in f]
-        return JobResult(job_id, folder, files, time.time() - began, {k: o.get["n"] for k, o in seen.items()})
+        return JobResult(job_id, folder, files, time.time() - began, told())
 
 
 def progress(spark: SparkSession) -> list[tuple[int, int, int]]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +95,7 @@ def _micros(ts: Column) -> Column:
 def lost_workers(heartbeats: DataFrame, timeout_s: float, now: Column | None = None) -> DataFrame:
     """of ``(worker, ts)``, workers whose last sign is older than the timeout, at ``now`` or the log's last sign."""
     last = heartbeats.groupBy("worker").agg(F.max("ts").alias("last"))
-    at = F.max("last").over(Window.partitionBy()) if now is None else now  # a row for each worker only
+    at = heartbeats.agg(F.max("ts")).scalar() if now is None else now
     return last.withColumn("silent_s", (_micros(at) - _micros(F.col("last"))) / 1e6).where(F.col("silent_s") > timeout_s)
 
 
@@ -113,16 +115,21 @@ def silences(heartbeats: DataFrame, timeout_s: float) -> DataFrame:
     return joined.withColumn("gap_s", gap).where(F.col("gap_s") > timeout_s).select("worker", "ts", "gap_s")
 
 
-def numbered(df: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """Rows numbered from 0 in the order of a unique column, without one task that holds them all.
+def numbered(df: DataFrame, order: str, name: str = "place", by: str | None = None) -> DataFrame:
+    """Rows numbered from 0 in the order of a column, within each value of ``by`` if it is given, without one task that holds them all.
 
-    Rows are dealt by ranges; the ranges' counts, a row each, give every range its first number.
+    Rows are dealt by ranges; the ranges' counts, a row for each range and value, give every range its first number. Equal
+    places are taken in any order. A column ``name`` of ``df`` is replaced; other names may be any.
     """
-    ranged = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = counts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    inside = Window.partitionBy("_part").orderBy(order)
-    return ranged.join(F.broadcast(base), F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.row_number().over(inside) - 1).drop("_part", "_p", "_base")
+    key = F.lit(0) if by is None else F.col(f"`{by}`")
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("key"), F.col(f"`{order}`").alias("order"))
+    ranged = written(own.repartitionByRange("key", "order").withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("key", "part").agg(F.count("*").alias("n"))
+    first = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
+    base = written(counts.select(F.col("key").alias("of"), F.col("part").alias("p"), first.alias("base")), "bases")
+    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("order"))
+    joined = ranged.join(base, F.col("key").eqNullSafe(F.col("of")) & (F.col("part") == F.col("p")))
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c != name], (F.col("base") + inside - 1).alias(name))
 
 
 def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:
@@ -134,27 +141,39 @@ def dynamic_batches(requests: DataFrame, max_batch: int, delay_us: int, by: str
     """B2, B3 replayed from a log ``(request_id, arrived_us)``: ``(queue, request_id, batch, size)``.
 
     The worker waits for a first request, then until ``max_batch`` are queued or the delay is over; it takes what is there in
-    the order of arrival. Running takes no time here. A batch depends on the one before it, so a queue is one sequence:
-    ``by`` names a column of independent queues (servers), which run side by side.
+    the order of arrival. Running takes no time here. A batch depends on the one before it, so a queue is one sequence, which one
+    task reads in order and hands on batch by batch; ``by`` names a column of independent queues (servers), which run side by side.
     """
     ship(requests.sparkSession)
     most = max(1, max_batch)
 
-    def replay(log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values(["arrived_us", "request_id"])
-        batch, first, size, numbers = -1, None, 0, []
-        for t in log["arrived_us"]:
-            if first is None or size >= most or (t > first + delay_us if delay_us else t > first):
-                batch, first, size = batch + 1, t, 0
-            size += 1
-            numbers.append(batch)
-        log["batch"] = numbers
-        log["size"] = log.groupby("batch")["batch"].transform("size")
-        return log[["queue", "request_id", "batch", "size"]]
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queues come one after the other, in order; what is held is one batch and what is handed on next."""
+        queue, number, first, waiting = None, -1, 0, []
+        done: list[tuple] = []
+
+        def handed() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            columns = zip(*done, strict=True) if done else ((),) * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["queue", "request_id", "batch", "size"])
+
+        for part in batches:
+            for q, request, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                new = number < 0 or q != queue
+                if new or len(waiting) >= most or t > first + delay_us:
+                    done += [(queue, r, number, len(waiting)) for r in waiting]
+                    queue, number, first, waiting = q, 0 if new else number + 1, t, []
+                waiting.append(request)
+            if len(done) >= 10_000:
+                yield handed()
+                done = []
+        done += [(queue, r, number, len(waiting)) for r in waiting]
+        yield handed()
 
     queue = F.col(by).cast("string") if by else F.lit("")
-    own = requests.select(queue.alias("queue"), "request_id", "arrived_us")
-    return own.groupBy("queue").applyInPandas(replay, "queue string, request_id bigint, batch bigint, size bigint")
+    own = requests.select(queue.alias("queue"), F.col("request_id").cast("bigint").alias("request_id"), F.col("arrived_us").cast("bigint").alias("arrived_us"))
+    ordered = own.repartition("queue").sortWithinPartitions("queue", "arrived_us", "request_id")
+    return ordered.mapInArrow(replay, "queue string, request_id bigint, batch bigint, size bigint")
 
 
 def prefix_sample(samples: DataFrame, n: int = 2000, id_col: str = "sample_id") -> DataFrame:

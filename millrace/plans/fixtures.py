@@ -8,14 +8,14 @@ from millrace.plans.graph import Graph, Model, Node
 
 
 def linear(features: int, classes: int) -> Model:
-    """flatten -> fc, weights a fixed sequence, bias 0.25."""
+    """flatten -> fc. The rule of the weights, the bias of 0.25."""
     w = np.array([0.01 * ((i * 7) % 13) - 0.05 for i in range(classes * features)], np.float32).reshape(classes, features)
     nodes = [Node("flatten", "Flatten", ["input"], ["flat"], {"axis": 1}), Node("fc", "Gemm", ["flat", "w", "b"], ["output"], {"transB": 1})]
     return Model(Graph(nodes, ["input"], ["output"]), {"w": w, "b": np.full(classes, 0.25, np.float32)})
 
 
 def branching(features: int = 4, hidden: int = 4, classes: int = 3) -> Model:
-    """flatten -> fc1 -> relu1 -> {left, right} -> add, the smallest form with its fixed weights, others by the same rules."""
+    """flatten -> fc1 -> relu1 -> {left, right} -> add. The smallest form's weights; others follow the same rules."""
     seq = lambda n, f, shape: np.array([f(i) for i in range(n)], np.float32).reshape(shape)
     cycle = lambda values, n: np.array([values[i % len(values)] for i in range(n)], np.float32)
     tensors = {
@@ -37,7 +37,7 @@ def branching(features: int = 4, hidden: int = 4, classes: int = 3) -> Model:
     return Model(Graph(nodes, ["input"], ["output"]), tensors)
 
 
-#: The nine-node topology of a trained digit classifier, by name: what each node takes and makes.
+# The nine-node topology of a trained digit classifier, by name, with two nodes that nothing takes; what each node takes and makes.
 DIGITS = Graph(
     [
         Node("flatten", "Flatten", ["image"], ["t0"]),

@@ -86,7 +86,7 @@ class OptimizationReport:
     eliminated: int
 
     def __str__(self) -> str:
-        return f"nodes {self.before} -> {self.after} (fused {self.fused}, folded {self.folded}, eliminated {self.eliminated})"
+        return f"{self.before} nodes became {self.after}: {self.folded} constants folded, {self.fused} activations fused, {self.eliminated} unused ones left out"
 
 
 def gemm(a: np.ndarray, b: np.ndarray, bias: np.ndarray | None = None, trans_a: int = 0, trans_b: int = 0, alpha: float = 1.0, beta: float = 1.0) -> np.ndarray:
@@ -229,3 +229,27 @@ def level_table(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> Data
           UNION ALL
           SELECT e.child, r.level + 1 FROM reach r JOIN _millrace_edges e ON e.parent = r.node)
         SELECT node, max(level) AS level FROM reach GROUP BY node""")
+
+
+def dead_table(nodes: DataFrame, edges: DataFrame, outputs: list[str]) -> DataFrame:
+    """U4 as a recursive query: ``(node)`` of the nodes that none of the outputs needs."""
+    spark = nodes.sparkSession
+    nodes.withColumn("kept", F.arrays_overlap("outputs", F.array(*[F.lit(o) for o in outputs]))).createOrReplaceTempView("_millrace_nodes")
+    edges.createOrReplaceTempView("_millrace_edges")
+    return spark.sql("""
+        WITH RECURSIVE needed(node) AS (
+          SELECT name FROM _millrace_nodes WHERE kept
+          UNION ALL
+          SELECT e.parent FROM needed n JOIN _millrace_edges e ON e.child = n.node)
+        SELECT name AS node FROM _millrace_nodes WHERE name NOT IN (SELECT node FROM needed)""")
+
+
+def fusion_table(nodes: DataFrame, edges: DataFrame, outputs: list[str]) -> DataFrame:
+    """``(gemm, relu)``: products whose only taker is an activation that takes nothing else, and that are no output themselves."""
+    own = nodes.select("name", "op", F.arrays_overlap("outputs", F.array(*[F.lit(o) for o in outputs])).alias("shown"))
+    takers = edges.groupBy("parent").agg(F.count("*").alias("takers"))
+    givers = edges.groupBy("child").agg(F.count("*").alias("givers"))
+    gemm = own.where("op = 'Gemm' and not shown").select(F.col("name").alias("parent"))
+    relu = own.where("op = 'Relu'").select(F.col("name").alias("child"))
+    alone = edges.join(gemm, "parent").join(relu, "child").join(takers.where("takers = 1"), "parent").join(givers.where("givers = 1"), "child")
+    return alone.select(F.col("parent").alias("gemm"), F.col("child").alias("relu"))

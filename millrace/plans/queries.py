@@ -14,8 +14,8 @@ from millrace.functions import arrays, text
 from millrace.operators import jobs, stats
 from millrace.plans import fixtures, scoring
 from millrace.plans import graph as g
-from millrace.session import table
-from millrace.sources import kvtext
+from millrace.session import spread, table, work_path
+from millrace.sources import kvtext, models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +37,7 @@ def e4(value: Column) -> Column:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text").where(F.col("text").isNotNull()))
     return docs.select("doc_id", "source", F.explode(text.lines(F.col("text"))).alias("value"))
 
 
@@ -51,10 +51,15 @@ def wordcount(spark, sf_dir):
     return jobs.reduce_columns(pairs, jobs.sum_values(F.col("value"))).select(F.col("key").alias("word"), F.col("value").cast("bigint").alias("n"))
 
 
-@registered("SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY w")
+SPACED = "replace(text, ' a', CASE doc_id % 3 WHEN 0 THEN chr(160) || 'a' WHEN 1 THEN chr(8195) || chr(12288) || 'a' ELSE chr(133) || 'a' END)"
+
+
+@registered(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower({SPACED}), '{text.SPACE}+')) AS w FROM documents) WHERE w <> '' GROUP BY w")
 def wordcount_fields(spark, sf_dir):
-    """P3."""
-    pairs = jobs.map_columns(document_lines(spark, sf_dir), text.fields(F.col("value")))
+    """P3, with white space beyond ASCII in the texts."""
+    rest = F.col("doc_id") % 3
+    spaced = F.replace(F.col("value"), F.lit(" a"), F.concat(F.when(rest == 0, "\u00a0").when(rest == 1, "\u2003\u3000").otherwise("\u0085"), F.lit("a")))
+    pairs = jobs.map_columns(document_lines(spark, sf_dir), text.fields(spaced))
     return pairs.groupBy(F.col("key").alias("word")).agg(F.count("*").alias("n"))
 
 
@@ -118,7 +123,7 @@ FROM (SELECT word, {FNV.format('word')} % 8 AS part FROM ({DISTINCT_WORDS}))""")
 def sorted_runs(spark, sf_dir):
     """Every partition in byte order of its keys."""
     words = _distinct_words(spark, sf_dir).withColumn("part", text.partition_id(F.col("word"), 8).cast("bigint"))
-    return words.select("part", "word", F.row_number().over(Window.partitionBy("part").orderBy("word")).cast("bigint").alias("place"))
+    return stats.numbered(words, "word", by="part").select("part", "word", (F.col("place") + 1).alias("place"))
 
 
 @registered("""SELECT o_orderstatus AS key, s AS source, count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most FROM
@@ -187,8 +192,7 @@ def split_files(spark, sf_dir):
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = document_lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    words = words.select("doc_id", F.explode(text.word_tokens(F.col("value"))).alias("key"))
+    words = document_lines(spark, sf_dir).select("doc_id", F.explode(text.word_tokens(F.col("value"))).alias("key"))
     count = lambda df: df.groupBy("key").agg(F.count("*").alias("value"))
     return count(words.where("doc_id % 2 = 0")), count(words.where("doc_id % 2 = 1"))
 
@@ -206,10 +210,7 @@ def verify_diff(spark, sf_dir):
 @registered(f"WITH {HALVES} SELECT 'missing' AS kind, count(*) AS n FROM (SELECT key FROM e EXCEPT SELECT key FROM a) UNION ALL SELECT 'extra', count(*) FROM (SELECT key FROM a EXCEPT SELECT key FROM e) UNION ALL SELECT 'common', count(*) FROM (SELECT key FROM a INTERSECT SELECT key FROM e)")
 def key_sets(spark, sf_dir):
     """U2 U3."""
-    a, e = (x.select("key") for x in _halves(spark, sf_dir))
-    kinds = {"missing": e.subtract(a), "extra": a.subtract(e), "common": a.intersect(e)}
-    parts = [df.agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k, df in kinds.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return kvtext.key_sets(*_halves(spark, sf_dir))
 
 
 @registered("SELECT event_type, count(value) AS n, list_sort(list(value))[count(value) // 2 + 1] AS median FROM events GROUP BY event_type")
@@ -480,14 +481,66 @@ def graph_levels(spark, sf_dir):
 @registered(f"WITH RECURSIVE {EDGES}, u AS (SELECT name FROM n WHERE list_contains(outputs, 'logits') UNION SELECT e.parent FROM u JOIN e ON e.child = u.name) SELECT name AS node FROM n WHERE name NOT IN (SELECT name FROM u)")
 def dead_nodes(spark, sf_dir):
     """U4."""
-    return spark.createDataFrame([(n,) for n in g.dead_nodes(fixtures.DIGITS)], "node string")
+    nodes = g.node_table(spark, fixtures.DIGITS)
+    return g.dead_table(nodes, g.edge_table(nodes), fixtures.DIGITS.outputs)
 
 
 @registered(f"""WITH {EDGES} SELECT p.name AS gemm, c.name AS relu FROM e JOIN n p ON p.name = e.parent JOIN n c ON c.name = e.child
 WHERE p.op = 'Gemm' AND c.op = 'Relu' AND (SELECT count(*) FROM e x WHERE x.parent = p.name) = 1 AND (SELECT count(*) FROM e x WHERE x.child = c.name) = 1 AND NOT list_contains(p.outputs, 'logits')""")
 def fusion_candidates(spark, sf_dir):
     """Section 4's fusion, with its guards."""
-    return spark.createDataFrame([(a.name, b.name) for a, b in g.fusion_candidates(fixtures.DIGITS)], "gemm string, relu string")
+    nodes = g.node_table(spark, fixtures.DIGITS)
+    return g.fusion_table(nodes, g.edge_table(nodes), fixtures.DIGITS.outputs)
+
+
+EVENT_PAIRS = "SELECT user_id::VARCHAR AS key, event_type AS value FROM events"
+
+
+@registered(f"SELECT ({FNV.format('key')} % 5)::INT AS part, count(*) AS records, count(DISTINCT key) AS keys, 0 AS misplaced FROM ({EVENT_PAIRS}) GROUP BY part")
+def record_files(spark, sf_dir):
+    """Records written to a file for each partition, listed, and read back."""
+    pairs = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"))
+    folder = work_path(spark, "records")
+    kvtext.write_records(pairs, folder, 5)
+    files = [f for f in kvtext.list_input_files(spark, folder) if "/part-" in f]
+    key, _ = kvtext.parse_records(F.col("value"))
+    back = kvtext.read_lines(spark, files).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("part"), key.alias("key"))
+    return back.groupBy("part").agg(F.count("*").alias("records"), F.count_distinct("key").alias("keys"), F.count_if(text.partition_id(F.col("key"), 5) != F.col("part")).cast("int").alias("misplaced"))
+
+
+@registered("SELECT doc_id, count(*) FILTER (WHERE x <> '') AS filled, count(*) FILTER (WHERE x = '') AS blank FROM (SELECT doc_id, unnest(string_split(text || chr(10) || chr(10) || 'k', chr(10))) AS x FROM documents) GROUP BY doc_id")
+def blank_records(spark, sf_dir):
+    """Lines, and those that a record reader passes over."""
+    parts = text.lines(F.concat("text", F.lit("\n\nk\n")))
+    own = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", parts.alias("x"))
+    blank = F.size(F.filter("x", lambda v: v == "")).cast("bigint")
+    return own.select("doc_id", (F.size("x") - blank).cast("bigint").alias("filled"), blank.alias("blank"))
+
+
+@registered("SELECT event_type AS name, format('{:,}', sum(event_id)::BIGINT) AS value FROM events GROUP BY event_type")
+def counter_report(spark, sf_dir):
+    """S17 F-thousands."""
+    sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.sum("event_id").alias("value"))
+    return kvtext.report(sums)
+
+
+@registered("""WITH q AS (SELECT vec_id, list_transform(embedding[1:4], lambda v: floor(v::DOUBLE * 100) / 4) AS z FROM embeddings)
+SELECT vec_id AS sample_id, '{"prediction":' || (list_position(z, list_max(z)) - 1) || ',"logits":[' || array_to_string(list_transform(z, lambda v: printf('%.6f', v)), ',') || ']}' AS body FROM q""")
+def response_json(spark, sf_dir):
+    """F-jsonfmt O5."""
+    quarters = F.transform(F.slice("x", 1, 4), lambda v: F.floor(v * 100).cast("double") / 4)
+    own = _vectors(spark, sf_dir).select("sample_id", quarters.alias("z"))
+    return own.select("sample_id", scoring.logits_json(F.col("z"), arrays.argmax(F.col("z"))).alias("body"))
+
+
+@registered(f"""SELECT vec_id AS sample_id, CASE WHEN vec_id % 3 < 2 THEN {E4.format('list_transform(list_transform(embedding, lambda v: abs(floor(v::DOUBLE * 100))::BIGINT % 256), lambda p: p / 255)')} END AS x FROM embeddings""")
+def decoded_bodies(spark, sf_dir):
+    """Request bodies of bytes, and cut short."""
+    own = _vectors(spark, sf_dir).select("sample_id", F.transform("x", lambda v: F.abs(F.floor(v * 100)) % 256).alias("p"))
+    n = own.select(F.size("p").alias("n")).first()["n"]
+    packed = F.unhex(F.array_join(F.transform("p", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    body = F.when(F.col("sample_id") % 3 < 2, packed).otherwise(F.substring(packed, 1, n - 1))
+    return own.select("sample_id", e4s(models.decode_body(body, n)).alias("x"))
 
 
 def queries() -> dict[str, Query]:

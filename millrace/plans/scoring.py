@@ -20,7 +20,6 @@ from millrace.functions import arrays
 from millrace.plans import graph as g
 from millrace.session import ship
 
-NATIVE_WEIGHTS = 4096
 #: Broadcast weights may have so many bytes; more raise.
 MAX_WEIGHT_BYTES = 1 << 30
 
@@ -208,12 +207,15 @@ STRATEGIES: dict[str, Strategy] = {"native": native, "relational": relational, "
 
 
 def score(samples: DataFrame, model: g.Model, id_col: str = "sample_id", x_col: str = "x", strategy: str = "auto", optimize: bool = True) -> DataFrame:
-    """``(id, logits, prediction)``. ``optimize`` rewrites the graph first; the results agree either way."""
+    """``(id, logits, prediction)``. ``optimize`` rewrites the graph first; the results agree either way.
+
+    ``auto`` is ``vectorised``, in 32-bit numbers as the models have, at every size of a model; ``native`` and ``relational`` compute in 64 bits.
+    """
     g.check(model)
     if optimize:
         model, _ = g.optimize(model)
     if strategy == "auto":
-        strategy = "native" if sum(t.size for t in model.tensors.values()) <= NATIVE_WEIGHTS else "vectorised"
+        strategy = "vectorised"
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     out = STRATEGIES[strategy](samples, model, id_col, x_col)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of an Arrow batch that goes to a Python worker: rows of long texts make small batches.
 ARROW_BYTES = 8 << 20
+#: Bytes of files up to which an input's rows are dealt to all cores by a shuffle.
+SMALL_INPUT = 128 << 20
 
 
 def local_session(cores: int | str = "*", app: str = "millrace", **conf: str) -> SparkSession:
@@ -35,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input dealt to all cores: a file of one row group is read by one task, however small it is cut. Large inputs have many."""
+    spark = df.sparkSession
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_INPUT
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that Python workers import it wherever they run; bound their batches."""
     sc = spark.sparkContext
@@ -56,9 +65,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one where it names none and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{LOCAL_CHECKPOINTS}"
         os.makedirs(LOCAL_CHECKPOINTS, exist_ok=True)
     return base.rstrip("/")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import io
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from millrace.files import create, open_fs, visible_files
 from millrace.functions.text import escape, partition_id, unescape_strict
 
 RECORD = "key string, value string"
+#: Bytes of a line, its end included, that a mapper is given at the most.
+MAX_LINE = 16 << 20
 
 
 def list_input_files(spark: SparkSession, folder: str) -> list[str]:
@@ -31,11 +35,13 @@ def split_files(files: list[str], groups: int) -> list[list[str]]:
     return [files[k::n] for k in range(n)]
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S3: ``(path, value)``, a row for each line, one trailing CR stripped. Spark splits files by itself."""
+def read_lines(spark: SparkSession, path: str | list[str], max_line: int = MAX_LINE) -> DataFrame:
+    """S3: ``(path, value)``, a row for each line, one trailing CR stripped; a line of ``max_line`` bytes or more raises. Spark splits files by itself."""
     raw = spark.read.option("lineSep", "\n").text(path)
     name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    return raw.select(name.alias("path"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    said = F.concat(F.lit(f"a line of {max_line} bytes or more in "), name)
+    value = F.when(F.octet_length("value") < max_line, F.regexp_replace("value", r"\r\z", "")).otherwise(F.raise_error(said))
+    return raw.select(name.alias("path"), value.alias("value"))
 
 
 def parse_records(line: Column) -> tuple[Column, Column]:
@@ -57,18 +63,33 @@ def record_line(key: Column, value: Column) -> Column:
     return F.concat_ws("\t", escape(key), escape(value))
 
 
-def write_records(records: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
-    """Sorted record files; with ``partitions`` a key is in the file of its FNV-1a partition.
+def write_records(records: DataFrame, path: str, partitions: int | None = None, dealt: bool = False) -> DataFrame:
+    """Sorted record files; with ``partitions`` a key is in the file of its FNV-1a partition, and each partition has a file.
 
-    Spark's committer moves whole files into place and replaces what was there. Returns what was written.
+    ``dealt`` says that the rows are in their partitions, sorted, already. Spark's committer moves whole files into place and replaces
+    what was there. Returns what was written.
     """
     out = records
-    if partitions:
+    if partitions and not dealt:
         out = out.withColumn("_p", partition_id(F.col("key"), partitions)).repartitionById(partitions, F.col("_p")).drop("_p")
-    out.sortWithinPartitions("key", "value").select(record_line(F.col("key"), F.col("value"))).write.mode("overwrite").text(path)
+    if not dealt:
+        out = out.sortWithinPartitions("key", "value")
+    out.select(record_line(F.col("key"), F.col("value"))).write.mode("overwrite").text(path)
+    if partitions:
+        _fill(records.sparkSession, path, partitions)
     return out
 
 
+def _fill(spark: SparkSession, path: str, partitions: int) -> None:
+    """An empty file for each partition that had no row."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {s.getPath().getName()[:10] for s in system.listStatus(folder)}
+    for k in range(partitions):
+        if f"part-{k:05d}" not in there:
+            system.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"part-{k:05d}-empty.txt")).close()
+
+
 def report(counters: DataFrame) -> DataFrame:
     """Counters by name, with separated thousands."""
     return counters.select("name", F.format_number("value", 0).alias("value")).orderBy("name")
@@ -88,6 +109,14 @@ def compare(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return both.withColumn("status", status).where(F.col("status").isNotNull()).select("key", "actual", "expected", "status")
 
 
+def key_sets(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """``(kind, n)``: how many distinct keys are missing, extra and common, of ``(key, ...)`` tables."""
+    a, e = (df.select("key").distinct().withColumn(side, F.lit(True)) for df, side in ((actual, "in_a"), (expected, "in_e")))
+    both = a.join(e, "key", "full")
+    counts = both.agg(F.count_if(F.col("in_a").isNull()).alias("missing"), F.count_if(F.col("in_e").isNull()).alias("extra"), F.count_if(F.col("in_a") & F.col("in_e")).alias("common"))
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in counts.columns])))
+
+
 def misplaced_keys(records: DataFrame) -> DataFrame:
     """Keys of ``(key, part)`` that are in more than one part."""
     return records.groupBy("key").agg(F.count_distinct("part").alias("parts")).where(F.col("parts") > 1)
@@ -124,7 +153,7 @@ def escape_text(text: str) -> str:
 class KeyValueText(DataSource):
     """``spark.read.format("kvtext").load(folder or file)`` and ``df.write.format("kvtext")``; option ``splitBytes``.
 
-    For file systems that Python reads; ``read_records`` goes by Spark's own readers.
+    For file systems that pyarrow knows; ``read_records`` goes by Spark's own readers.
     """
 
     @classmethod
@@ -138,21 +167,22 @@ class KeyValueText(DataSource):
         return _Reader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, split: int):
-        self.path, self.split = path.removeprefix("file://"), split
+        self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        names = [self.path] if os.path.isfile(self.path) else sorted(e.path for e in os.scandir(self.path) if e.is_file() and e.name[0] not in "._")
-        if not names:
+        files = visible_files(self.path)
+        if not files:
             raise ValueError(f"no input files in {self.path}")
-        return [_Files(n, k, min(k + self.split, size)) for n in names for size in [os.path.getsize(n)] for k in range(0, max(1, size), self.split)]
+        return [_Files(n, k, min(k + self.split, size)) for n, size in files for k in range(0, max(1, size), self.split)]
 
     def read(self, part: _Files) -> Iterator[tuple]:
-        with open(part.path, "rb") as file:
+        system, _ = open_fs(self.path)
+        with io.BufferedReader(system.open_input_file(part.path), 1 << 20) as file:
             if part.begin:  # the line over the border belongs to the part before
                 file.seek(part.begin - 1)
                 file.readline()
@@ -166,30 +196,36 @@ class _Reader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, names: tuple[str, str]):
-        self.names = names
+    def __init__(self, attempt: str, name: str):
+        self.attempt, self.name = attempt, name
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+    """An attempt is a hidden file; those that count move into place. Overwriting, what was there before goes after that."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path.rstrip("/"), overwrite
 
     def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/part-{context.partitionId():05d}"
-        attempt = f"{self.path}/._part-{context.taskAttemptId()}"
-        with open(attempt, "w", encoding="utf-8", newline="") as out:
-            out.writelines(f"{escape_text(r[0])}\t{escape_text(r[1])}\n" for r in rows)
-        return _Written((attempt, name))
+        own = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
+        with create(f"{self.path}/._{own}") as out:
+            for r in rows:
+                out.write(f"{escape_text(r[0])}\t{escape_text(r[1])}\n".encode())
+        return _Written(f"._{own}", own)
 
     def commit(self, messages) -> None:
-        for m in messages:  # S7: whole files move into place
-            os.replace(*m.names)
+        system, path = open_fs(self.path)
+        system.create_dir(path, recursive=True)
+        before = visible_files(self.path) if self.overwrite else []
+        for m in messages:
+            system.move(f"{path}/{m.attempt}", f"{path}/{m.name}")
+        for name, _ in before:
+            system.delete_file(name)
 
     def abort(self, messages) -> None:
+        system, path = open_fs(self.path)
         for m in messages:
-            if m and os.path.exists(m.names[0]):
-                os.remove(m.names[0])
+            if m and system.get_file_info(f"{path}/{m.attempt}").is_file:
+                system.delete_file(f"{path}/{m.attempt}")

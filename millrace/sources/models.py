@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import struct
 from collections.abc import Iterator
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from millrace.files import open_random, write_whole
 from millrace.functions.arrays import all_finite, normalise, pixel_array
 from millrace.plans.graph import Graph, Model, Node
 
@@ -100,10 +101,7 @@ def read_model(spark: SparkSession, path: str) -> Model:
 
 
 def write_model(model: Model, path: str) -> None:
-    temporary = f"{path}.{os.getpid()}.tmp"
-    with open(temporary, "wb") as out:
-        out.write(model_bytes(model))
-    os.replace(temporary, path)
+    write_whole(path, model_bytes(model))
 
 
 NODES = "name string, op string, inputs array<string>, outputs array<string>, attrs map<string, struct<tag: tinyint, i: bigint, f: float, is: array<bigint>>>"
@@ -132,7 +130,7 @@ class ModelFile(DataSource):
         return "name string, op string, inputs array<string>, outputs array<string>" if self.options.get("part") == "nodes" else TENSORS
 
     def reader(self, schema) -> DataSourceReader:
-        return _ModelReader(self.options["path"].removeprefix("file://"), self.options.get("part", "tensors"))
+        return _ModelReader(self.options["path"], self.options.get("part", "tensors"))
 
 
 class _ModelReader(DataSourceReader):
@@ -140,7 +138,7 @@ class _ModelReader(DataSourceReader):
         self.path, self.part = path, part
 
     def read(self, partition) -> Iterator[tuple]:
-        with open(self.path, "rb") as file:
+        with open_random(self.path) as file:
             model = parse_model(file.read())
         if self.part == "nodes":
             yield from ((n.name, n.op, n.inputs, n.outputs) for n in model.graph.nodes)
@@ -167,7 +165,7 @@ class ImageSet(DataSource):
         return "sample_id bigint, pixels binary, label smallint"
 
     def reader(self, schema) -> DataSourceReader:
-        return _ImageReader(self.options["path"].removeprefix("file://"), int(self.options.get("records", 50_000)))
+        return _ImageReader(self.options["path"], int(self.options.get("records", 50_000)))
 
 
 class _ImageReader(DataSourceReader):
@@ -175,17 +173,17 @@ class _ImageReader(DataSourceReader):
         self.path, self.records = path, records
 
     def partitions(self) -> list[InputPartition]:
-        with open(self.path, "rb") as file:
-            head = file.read(4)
+        with open_random(self.path) as file:
+            head, size = file.read(4), file.size()
         count = struct.unpack("<I", head)[0] if len(head) == 4 else 0
         if not 1 <= count <= MAX_IMAGES:
             raise ValueError(f"the image set has {count} records")
-        if os.path.getsize(self.path) < 4 + count * (PIXELS + 1):
+        if size < 4 + count * (PIXELS + 1):
             raise ValueError("the image set is cut short")
         return [_Records(k, min(k + self.records, count)) for k in range(0, count, self.records)]
 
     def read(self, part: _Records) -> Iterator[tuple]:
-        with open(self.path, "rb") as file:
+        with io.BufferedReader(open_random(self.path), 1 << 20) as file:
             file.seek(4 + part.first * (PIXELS + 1))
             for k in range(part.first, part.last):
                 record = file.read(PIXELS + 1)
@@ -196,8 +194,7 @@ class _ImageReader(DataSourceReader):
 
 def write_image_set(path: str, pixels: np.ndarray, labels: np.ndarray) -> None:
     """A test set of (n, 784) bytes and labels."""
-    with open(path, "wb") as out:
-        out.write(struct.pack("<I", len(pixels)) + np.concatenate([pixels.astype("u1"), labels.astype("u1")[:, None]], axis=1).tobytes())
+    write_whole(path, struct.pack("<I", len(pixels)) + np.concatenate([pixels.astype("u1"), labels.astype("u1")[:, None]], axis=1).tobytes())
 
 
 def read_raw_images(spark: SparkSession, path: str) -> DataFrame:

@@ -44,17 +44,47 @@ def test_python_job_equals_counts(spark, tmp_path, reducers, combine):
     done = jobs.Job(config, mapper=words, reducer=total, combiner=(lambda k, v: total(k, v)) if combine else None).run(spark)
     assert result(spark, done) == want
     assert done.counters["map.input_records"] == 160 and done.counters["map.emitted"] == 960 and done.counters["reduce.emitted"] == 8
+    assert done.counters["reduce.keys"] == 8
     if combine:
-        assert done.counters["map.output_records"] < 960
+        assert done.counters["map.output_records"] < 960 == done.counters["combine.in"]
+        assert done.counters["combine.out"] == done.counters["map.output_records"] == done.counters["reduce.values"]
+    else:
+        assert done.counters["reduce.values"] == 960 and "combine.in" not in done.counters
+    assert len(done.output_files) == reducers
     keys = [[line.split("\t")[0] for line in open(f)] for f in done.output_files]
     assert all(k == sorted(k) for k in keys) and len(set(sum(keys, []))) == len(sum(keys, []))
 
 
+def test_counters_of_reducers_that_skip_and_stop(spark, tmp_path):
+    """Keys that give nothing and values that are not read count too."""
+    want = write_inputs(tmp_path / "in", 2, 30)
+    config = JobConfig(input_dir=str(tmp_path / "in"), root=str(tmp_path / "work"), num_reducers=6)
+    first = lambda key, values: [next(values)] if key > "d" else []
+    done = jobs.Job(config, mapper=words, reducer=first).run(spark)
+    assert done.counters == {"map.input_records": 60, "map.emitted": 360, "reduce.keys": 8, "reduce.values": 360, "reduce.emitted": sum(w > "d" for w in want)}
+    assert len(done.output_files) == 6
+
+
+def test_python_job_shuffles_once(spark, tmp_path):
+    write_inputs(tmp_path / "in", 2, 5)
+    out, _ = jobs.Job(JobConfig(input_dir=str(tmp_path / "in"), num_reducers=3), mapper=words, reducer=total).plan(jobs.read_lines(spark, str(tmp_path / "in")))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_counters_equal_the_query(spark, sf, tmp_path):
+    from millrace.plans import queries
+
+    queries.document_lines(spark, sf).select("value").write.text(str(tmp_path / "in"))
+    done = jobs.Job(JobConfig(input_dir=str(tmp_path / "in"), root=str(tmp_path / "work")), map_key=text.word_tokens).run(spark)
+    assert done.counters == {r.name: r.value for r in queries.job_counters(spark, sf).collect()}
+
+
 def test_declarative_job(spark, tmp_path):
     want = write_inputs(tmp_path / "in", 3, 30)
     config = JobConfig(input_dir=str(tmp_path / "in"), root=str(tmp_path / "work"))
     done = jobs.Job(config, map_key=text.word_tokens).run(spark)
-    assert result(spark, done) == want and done.counters["map.emitted"] == 540
+    assert result(spark, done) == want
+    assert done.counters == {"map.input_records": 90, "map.emitted": 540, "reduce.keys": 8, "reduce.values": 540, "reduce.emitted": 8}
     with pytest.raises(ValueError):
         jobs.Job(config).run(spark)
 
@@ -79,8 +109,17 @@ def test_reducer_reads_lazily_and_emits_any_number(spark):
 @pytest.mark.parametrize("change", [{"input_dir": ""}, {"mode": "x"}, {"num_mappers": 0}, {"num_reducers": 0}, {"spill_bytes": 1023}, {"max_attempts": 0}, {"backup_threshold": 0.9}, {"workers": 0}, {"worker_timeout_s": 0.5}])
 def test_job_config_rejects(change):
     JobConfig(input_dir="in").validate()
+    JobConfig(mode="worker").validate()
+    for mode in ("local", "worker", "coordinator", "cluster"):
+        if mode != "worker" or not change.keys() & {"input_dir", "num_mappers", "num_reducers"}:
+            with pytest.raises(ValueError):
+                JobConfig(**{"input_dir": "in", "mode": mode} | change).validate()
+
+
+def test_input_that_is_no_folder_is_rejected(tmp_path):
+    (tmp_path / "x").write_text("")
     with pytest.raises(ValueError):
-        JobConfig(**{"input_dir": "in"} | change).validate()
+        JobConfig(input_dir=str(tmp_path / "x")).validate()
 
 
 def test_job_config_maps_to_spark():
@@ -119,9 +158,21 @@ def test_batches(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     got = sorted((r.k, r.batch) for r in stats.fixed_batches(df, "k", 32).collect())
     assert got == [(k, k // 32) for k in range(100)]
+    odd = spark.createDataFrame([(f"k{i % 3}", i // 2, "p", "b") for i in range(60)], "key string, order int, part string, base string").repartition(5)
+    for by, size in ((None, 60), ("key", 20)):
+        got = stats.numbered(odd, "order", by=by)
+        assert got.columns == [*odd.columns, "place"]
+        groups = {}
+        for r in got.collect():
+            groups.setdefault(r.key if by else 0, []).append((r.place, r.order))
+        assert all([p for p, _ in sorted(g)] == list(range(size)) and [o for _, o in sorted(g)] == sorted(o for _, o in g) for g in groups.values())
     log = spark.createDataFrame([(i, t) for i, t in enumerate([0, 10, 20, 30, 3000, 3000, 9000])], "request_id bigint, arrived_us bigint")
     runs = [r.batch for r in sorted(stats.dynamic_batches(log, 3, 2000).collect(), key=lambda r: r.request_id)]
     assert runs == [0, 0, 0, 1, 2, 2, 3]
+    queues = spark.createDataFrame([(i, 10 * i, None if i % 3 == 2 else f"q{i % 3}") for i in range(30)], "request_id bigint, arrived_us bigint, server string")
+    by_queue = stats.dynamic_batches(queues, 4, 1000, "server").collect()
+    assert sorted((r.queue or "", r.batch, r.size) for r in by_queue) == sorted((q, k // 4, 4 if k < 8 else 2) for q in ("q0", "q1", "") for k in range(10))
+    assert stats.dynamic_batches(queues.where("false"), 4, 1000).collect() == []
     at_once = [r.batch for r in sorted(stats.dynamic_batches(log, 8, 0).collect(), key=lambda r: r.request_id)]
     assert at_once == [0, 1, 2, 3, 4, 4, 5]
 

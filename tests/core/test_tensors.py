@@ -9,6 +9,7 @@ from millrace.functions import arrays
 from millrace.plans import fixtures, scoring
 from millrace.plans import graph as g
 from millrace.sources import models
+from millrace.sources.register import register_sources
 from millrace.streaming import scoring as streams
 
 X6 = [[1, 0, -1, 0.5, 2, -0.25], [0, 3, 1.5, -2, 0.25, 1], [-1, -1, 0, 0, 1, 1]]
@@ -86,7 +87,7 @@ def test_graph_orders_and_levels(spark):
 
 def test_rewrites():
     model, report = g.optimize(fixtures.branching())
-    assert (report.before, report.after, report.fused) == (6, 5, 1) and "6 -> 5" in str(report)
+    assert (report.before, report.after, report.fused) == (6, 5, 1) and "6 nodes became 5" in str(report)
     const = g.Model(g.Graph([g.Node("const_add", "Add", ["a", "b"], ["folded"]), g.Node("use", "Add", ["input", "folded"], ["out"]), g.Node("dead", "Relu", ["out"], ["d1"]), g.Node("dead2", "Relu", ["d1"], ["d2"])], ["input"], ["out"]), {"a": np.array([1.0, 2, 3], np.float32), "b": np.array([10.0, 20, 30], np.float32)})
     done, report = g.optimize(const)
     assert done.tensors["folded"][2] == 33 and (report.folded, report.eliminated, report.after) == (1, 2, 1)
@@ -115,7 +116,7 @@ def test_model_files(spark, tmp_path):
     for bad in (b"NOPE" + data[4:], data[:4] + struct.pack("<I", 2) + data[8:], data[:-3], data[:100], b""):
         with pytest.raises(ValueError):
             models.parse_model(bad)
-    spark.dataSource.register(models.ModelFile)
+    register_sources(spark)
     assert {r.name for r in spark.read.format("tensormodel").load(path).collect()} == set(model.tensors)
     assert spark.read.format("tensormodel").option("part", "nodes").load(path).count() == 6
     nodes, tensors = models.model_tables(spark, model)
@@ -127,7 +128,7 @@ def test_image_files(spark, tmp_path):
     pixels, labels = rng.integers(0, 256, (7, 784)), rng.integers(0, 10, 7)
     path = str(tmp_path / "set.bin")
     models.write_image_set(path, pixels, labels)
-    spark.dataSource.register(models.ImageSet)
+    register_sources(spark)
     got = sorted(spark.read.format("imageset").option("records", 3).load(path).select("sample_id", "label", arrays.pixel_array(F.col("pixels")).alias("p")).collect())
     assert [r.label for r in got] == labels.tolist() and [r.p for r in got] == pixels.tolist()
     (tmp_path / "raw").write_bytes(bytes(784))
