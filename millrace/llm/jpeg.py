@@ -30,8 +30,8 @@ from millrace.session import ship
 SOI, EOI, SOS, DQT, DHT, SOF0, DRI, COM, RST0 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xC0, 0xDD, 0xFE, 0xD0
 
 BLOCK = 64
-#: Blocks in a row of a stored image; the format allows 8,191.
-ROW = 1024
+#: Blocks in a row of a stored image, and the most that the format allows in a row or column.
+ROW, MOST = 1024, 8191
 #: Blocks that are coded at once.
 BATCH_BLOCKS = 1 << 13
 
@@ -306,10 +306,8 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 def _header(blocks: int, n_bytes: int) -> tuple[bytes, int]:
     """All that comes before the scan's data, and the blocks of the whole grid."""
-    wide = min(blocks, ROW)
+    wide = min(blocks, ROW if blocks <= ROW * MOST else MOST)
     high = -(-blocks // wide)
-    if high > 8191:
-        raise ValueError("too long for one image")
     tables = b"".join(bytes([slot, *code.counts, *code.symbols]) for slot, code in ((0x00, DC_CODE), (0x10, AC_CODE)))
     head = b"".join(
         [
@@ -428,6 +426,8 @@ class Read:
 
 def read_many(files: list[bytes]) -> list[Read]:
     """Stored images back as payloads and thumbnails: all their segments are decoded in step."""
+    if not files:
+        return []
     images = [parse(f) for f in files]
     streams, starts, grids = [], [], []
     offset = 0
@@ -471,7 +471,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id, media)``: each text's UTF-8 bytes as a JPEG file. A null text is stored like an empty one.
 
     Rows are stored one by one: repeated rows, repeated ids and null ids come out as they went in; an empty table gives
-    an empty table. Other columns are not read. A text of over 500 MB doesn't fit one image and raises ValueError.
+    an empty table. Other columns are not read. An image holds 4 GB, which is more than a text of Spark can have.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -483,20 +483,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 200):
             part = batch.slice(i, 200)
             files = [x.as_py() for x in part.column(1)]
-            found = read_many(files)
-            long = lambda values: pa.array(values, pa.int64())
+            known = iter(read_many([f for f in files if f is not None]))
+            pairs = [None if f is None else (f, next(known)) for f in files]
+            told = lambda kind, get: pa.array([None if x is None else get(*x) for x in pairs], kind)  # noqa: B023,E731
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    long([r.n_bytes for r in found]),
-                    long([len(r.payload) for r in found]),
-                    pa.array([hashlib.sha256(r.payload).hexdigest() for r in found]),
-                    long([zlib.crc32(r.payload[-BLOCK:]) for r in found]),
-                    long([len(f) for f in files]),
-                    pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                    pa.array([r.width for r in found], pa.int32()),
-                    pa.array([r.height for r in found], pa.int32()),
-                    pa.array([feature(r.width, r.height, r.thumbnail) for r in found]),
+                    told(pa.int64(), lambda f, r: r.n_bytes),
+                    told(pa.int64(), lambda f, r: len(r.payload)),
+                    told(pa.string(), lambda f, r: hashlib.sha256(r.payload).hexdigest()),
+                    told(pa.int64(), lambda f, r: zlib.crc32(r.payload[-BLOCK:])),
+                    told(pa.int64(), lambda f, r: len(f)),
+                    told(pa.string(), lambda f, r: hashlib.sha256(f).hexdigest()),
+                    told(pa.int32(), lambda f, r: r.width),
+                    told(pa.int32(), lambda f, r: r.height),
+                    told(pa.string(), lambda f, r: feature(r.width, r.height, r.thumbnail)),
                 ],
                 FEATURES,
             )
@@ -506,7 +507,11 @@ FEATURES = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "m
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """From ``(id, media)`` of ``to_media``: the payload's and the file's sizes and digests, dimensions, thumbnail hashes."""
+    """From ``(id, media)`` of ``to_media``: the payload's and the file's sizes and digests, dimensions, thumbnail hashes.
+
+    A null ``media`` gives nulls; one that is no stored payload, an empty one too, raises ValueError. Rows are read one by one,
+    whatever repeats; an empty table gives an empty table. Other columns are not read.
+    """
     kind = media.schema["id"].dataType.simpleString()
     kinds = [kind, "bigint", "bigint", "string", "bigint", "bigint", "string", "int", "int", "string"]
     return media.select("id", "media").mapInArrow(_features, ", ".join(f"{n} {k}" for n, k in zip(FEATURES, kinds, strict=True)))

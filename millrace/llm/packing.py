@@ -147,7 +147,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     Null and empty texts are one piece of the end id alone. Repeated rows and ids are packed as often as they come,
     rows with a null id like any other. Pieces of one length are alike, so ties between them are broken by a
-    hash of id and piece. An empty table gives an empty table. Other columns are not read.
+    hash of id, piece and place in the table of pieces. An empty table gives an empty table. Other columns are not read.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, id_col, text_col, path, size), "pieces")
@@ -157,7 +157,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         counts[length] = n
     shared = spark.sparkContext.broadcast(slots(plan(counts), size))  # a few places for each length
     groups = max(GROUPS, int(counts.sum()) // GROUP_ROWS)
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "start", "crc"), F.lit(groups)).cast("int"))
+    # by its place in the written table too, so that rows that are alike are spread
+    own = F.xxhash64("id", "piece", "start", "crc", "_metadata.file_name", "_metadata.row_index")
+    dealt = cut.withColumn("grp", F.pmod(own, F.lit(groups)).cast("int"))
     # the groups' first numbers: a window over groups of one length, never over its rows
     before = dealt.groupBy("length", "grp").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("grp")

@@ -317,7 +317,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without those near copies whose id is not their group's smallest; rows with a null id stay."""
+    """``docs`` without those near copies whose id is not their group's smallest; rows with a null id stay.
+
+    Null, empty and blank texts are one group, of which one row stays. Repeated rows of an id that stays all stay. An empty table
+    gives an empty table. Columns of any name are carried.
+    """
     groups = near_copies(docs, id_col, text_col, words, similarity)
     gone = written(groups.where(F.col("component_id") < F.col("id")).select(F.col("id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

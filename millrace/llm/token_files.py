@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.files import create, fresh_file, open_random
 from millrace.llm import word_tokens
-from millrace.llm.shared_files import create, fresh_file, open_random
 from millrace.session import ship, work_path, written
 
 # Fixed values of the seekable format and of this file's document table.
@@ -149,13 +149,14 @@ def _write(folder: str, path: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode each text, append ``end_id`` and write token files in ascending order of the id; returns the manifest.
 
-    Files are ordered by ``part``. Ids are whole numbers; null ids come first, rows of one id follow the order of
-    their texts (null first). Null and empty texts have the end id alone. An empty table gives no file. The manifest
+    Files are ordered by ``part``. Ids are whole numbers; null ids come first, rows of one id follow the order of a hash of
+    their texts, by which a repeated id is spread over files too. Null and empty texts have the end id alone. An empty table gives no file. The manifest
     names the files of the attempts that counted; it is written once, so nothing encodes again.
     """
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    ordered = own.repartitionByRange("id").sortWithinPartitions("id", "text")
+    own = own.withColumn("tie", F.xxhash64("text"))
+    ordered = own.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
     return written(ordered.mapInArrow(_write(folder, path or word_tokens.default_path(), end_id), "part int, file string, docs bigint, ids bigint"), "manifest")
 
 
@@ -186,7 +187,8 @@ def _documents(found: list[tuple]) -> pa.RecordBatch:
 def read_token_files(spark: SparkSession, manifest: DataFrame, wanted: Iterable[int] | None = None) -> DataFrame:
     """``(id, start, ids)`` from the files: ``start`` counts the ids of all documents before, ``ids`` are 16-bit little-endian.
 
-    With ``wanted`` only those documents' frames are decompressed. The driver holds a row for each file.
+    With ``wanted`` only those documents' frames are decompressed; ids that no file has give no row, and null ids can't be asked for. An
+    empty manifest gives an empty table; a file that is damaged or cut short raises ValueError. The driver holds a row for each file.
     """
     base, rows = 0, []
     for part in manifest.orderBy("part").collect():
@@ -206,7 +208,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def checksums(read: DataFrame) -> DataFrame:
-    """``(id, start, n_tokens, crc)``: the CRC-32 of a document's ids as little-endian 32-bit numbers."""
+    """``(id, start, n_tokens, crc)``: the CRC-32 of a document's ids as little-endian 32-bit numbers. Row by row; an empty table gives an empty table."""
     return read.mapInArrow(_sums, "id bigint, start bigint, n_tokens bigint, crc bigint")
 
 

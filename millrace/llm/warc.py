@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared_files import create, fresh_file, open_random
+from millrace.files import create, fresh_file, open_random
 from millrace.session import ship, work_path, written
 
 # Fixed values of the format.

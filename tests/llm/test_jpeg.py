@@ -1,7 +1,10 @@
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from millrace.llm import jpeg
 
@@ -144,6 +147,56 @@ def test_damaged_files_raise(damage):
         jpeg.read_many([damage(jpeg.store(b"some text" * 100))])
 
 
+def naive_file(text):
+    """A stored file written bit by bit: each block of 64 bytes a restart interval."""
+    payload = text + b"\0" * (64 - len(text) % 64 if len(text) % 64 or not text else 0)
+    blocks = [[b - 128 if b < 128 else b - 127 for b in payload[k : k + 64]] for k in range(0, len(payload), 64)]
+    wide = min(len(blocks), jpeg.ROW)
+    high = -(-len(blocks) // wide)
+    scan = b"".join(write_scan([(1, b)], None) + bytes([0xFF, 0xD0 + k % 8]) for k, b in enumerate(blocks + [[0] * 64] * (wide * high - len(blocks))))
+    seg = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    tables = b"".join(bytes([slot, *c.counts, *c.symbols]) for slot, c in ((0, jpeg.DC_CODE), (16, jpeg.AC_CODE)))
+    head = b"\xff\xd8" + seg(jpeg.COM, len(text).to_bytes(8, "big") + len(blocks).to_bytes(8, "big")) + seg(jpeg.DQT, b"\0" + b"\1" * 64)
+    head += seg(jpeg.SOF0, b"\x08" + (8 * high).to_bytes(2, "big") + (8 * wide).to_bytes(2, "big") + b"\1\1\x11\0") + seg(jpeg.DHT, tables) + seg(jpeg.DRI, b"\0\1") + seg(jpeg.SOS, b"\1\1\0\0\x3f\0")
+    return payload, head + scan[:-2] + b"\xff\xd9", [blocks[k : k + wide] for k in range(0, len(blocks), wide)], wide, high
+
+
+def naive_row(text):
+    """All columns from plain loops over bytes."""
+    payload, file, rows, wide, high = naive_file(text)
+    shade = lambda v: min(255, max(0, round(v / 8 + 128)))  # noqa: E731  Python rounds halves to even, too
+    grid = [[shade(b[0]) for b in row] + [shade(0)] * (wide - len(row)) for row in rows]
+    span = lambda n, k: range(k * n // 8, max((k + 1) * n // 8, k * n // 8 + 1))
+    means = [sum(grid[y][x] for y in span(high, r) for x in span(wide, c)) / (len(span(high, r)) * len(span(wide, c))) for r in range(8) for c in range(8)]
+    middle = float(np.mean(means))
+    bits = "".join("1" if m > middle else "0" for m in means)
+    look = xxhash.xxh64(b"".join(map(bytes, grid))).hexdigest()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return len(text), len(payload), sha(payload), zlib.crc32(payload[-64:]), len(file), sha(file), 8 * wide, 8 * high, f"{8 * wide}x{8 * high}:{int(bits, 2):016x}:{look}"
+
+
+def test_every_column_equals_a_naive_version(spark):
+    texts = [t.decode("latin-1") for t in (b"", b"a", b"a" * 63, b"a" * 64, b"a" * 65, bytes(range(256)) * 5)] + ["é日本 " * 90, "x" * (jpeg.ROW * 64 + 70), "Line\n" * 900]
+    rng = random.Random(6)
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF)])) for _ in range(rng.randrange(1, 9000))) for _ in range(6)]
+    got = jpeg.media_features(jpeg.to_media(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA))).collect()
+    assert {r.id: tuple(r)[1:] for r in got} == {i: naive_row(t.encode()) for i, t in enumerate(texts)}
+
+
+def test_long_payloads_get_wider_rows(monkeypatch):
+    monkeypatch.setattr(jpeg, "ROW", 2)
+    monkeypatch.setattr(jpeg, "MOST", 9)
+    text = b"0123456789abcdef" * 4 * 40  # 40 blocks: over 2 x 9
+    (read,) = jpeg.read_many([jpeg.store(text)])
+    assert read.payload == text and (read.width, read.height) == (72, 40)
+
+
+def test_null_media(spark):
+    media = spark.createDataFrame([(1, None), (2, bytearray(jpeg.store(b"abc")))], "id bigint, media binary")
+    got = {r.id: tuple(r)[1:] for r in jpeg.media_features(media).collect()}
+    assert got[1] == (None,) * 9 and got[2] == naive_row(b"abc")
+
+
 def test_tables(spark):
     rows = [(1, "a" * 100, "x", "y"), (1, "a" * 100, "x", "y"), (None, None, "x", "y"), (2, "", "x", "y"), (3, "long " * 30_000, "x", "y")]
     got = jpeg.media_features(jpeg.to_media(spark.createDataFrame(rows, SCHEMA))).collect()

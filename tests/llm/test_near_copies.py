@@ -1,6 +1,7 @@
 """Near copies against all pairs' exact Jaccard similarity."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -114,3 +115,24 @@ def test_links_are_those_of_the_exact_similarity(spark):
     want = jaccard_groups(rows)
     assert 20 < sum(i != c for i, c in want.items()) < 100
     assert grouped(spark, rows) == want
+
+
+def family(size=1400, words=120):
+    """One large group: copies of a text, each with edits of its own, so that two of them are often less similar than either is to the text; and strangers."""
+    rng = random.Random(23)
+    base = [f"b{rng.randrange(4000)}" for _ in range(words)]
+    rows = []
+    for i in range(size):
+        text = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            text[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text + [f"t{i}x{k}" for k in range(rng.randrange(0, 12))])))
+    return rows + [(size + i, " ".join(base[:40] + [f"s{i}x{k}" for k in range(60)])) for i in range(300)]
+
+
+def test_a_group_of_over_a_thousand(spark):
+    rows = family()
+    want = jaccard_groups(rows)
+    sizes = sorted(Counter(want.values()).values())
+    assert sizes[-1] > 1000
+    assert grouped(spark, rows) == want
