@@ -135,7 +135,7 @@ def _spans(kind: int, pattern: str, value: int) -> str:
 
 def _secrets_oracle() -> str:
     peak = "list_max(list_transform(generate_series(1, length(c) - {0} + 1), lambda i: list_aggregate(string_split(substr(c, i, {0}), ''), 'entropy')))".format(secrets.WINDOW)
-    run = "len(list_filter(generate_series(1, length(c) - 7), lambda i: substr(c, i, 8) = repeat(substr(c, i, 1), 8))) > 0"
+    run = "len(list_filter(generate_series(1, length(c) - {0} + 1), lambda i: substr(c, i, {0}) = repeat(substr(c, i, 1), {0}))) > 0".format(secrets.RUN)
     forms = [p for p in secrets.ALLOWED if "\\1" not in p]
     allowed = " OR ".join([*(f"regexp_matches(c, {_quoted(p)})" for p in forms), run])
     mixed = " AND ".join(f"regexp_matches(c, {_quoted(p)})" for p in secrets.MIXED)

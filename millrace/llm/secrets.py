@@ -30,18 +30,20 @@ BLOCK = 2048
 #: Character classes in the order of their test: name, pattern of a whole candidate, alphabet, entropy in bits that the
 #: window must reach. A random window has about 3.4 bits of hexadecimal digits and 4.3 bits of base-64 ones.
 CLASSES = [
-    ("hex", r"^[0-9A-Fa-f]+$", "0123456789abcdef", 3.0),
+    ("hex", r"^(?:0[xX])?[0-9A-Fa-f]+$", "0123456789abcdefx", 3.0),
     ("base64", r"^[A-Za-z0-9+/=_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 4.0),
 ]
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 #: Candidates that mix: without all of these a window can't be a key.
 MIXED = [r"[0-9]", r"[A-Za-z]"]
-#: Harmless forms: UUIDs, digests that say so, placeholders and runs, paths of words, words joined by signs, long numbers.
+#: Equal characters in a row that no key has.
+RUN = 12
+#: Harmless forms: UUIDs, digests that say so, placeholders (not in a name that something is assigned to) and runs, paths of words, words joined by signs, long numbers.
 ALLOWED = [
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     r"^(?i:sha1|sha256|sha384|sha512|md5)[-=_]",
-    r"(?i:example|sample|placeholder|dummy|changeme|xxxx|0123456789|123456789|abcdefgh)",
-    r"(.)\1{7}",
+    r"(?i:example|sample|placeholder|dummy|changeme|xxxx|0123456789|123456789|abcdefgh)[^=]*={0,2}$",
+    rf"(.)\1{{{RUN - 1}}}",
     r"^(/?[A-Za-z0-9]{1,12}){0,1}([/_=+-]+[A-Za-z]*[0-9]{0,4}){2,}$",
 ]
 

@@ -29,7 +29,7 @@ def brute(text):
         s = m[0]
         if any(re.search(p, s) for p in secrets.ALLOWED) or not all(re.search(p, s) for p in secrets.MIXED):
             continue
-        hexa = re.fullmatch("[0-9A-Fa-f]+", s)
+        hexa = re.fullmatch("(0[xX])?[0-9A-Fa-f]+", s)
         if peak(s.lower() if hexa else s) >= (3.0 if hexa else 4.0) - 1e-12 and not any(a <= m.start() and m.end() <= b for a, _, b in base):
             fresh.append((m.start(), 3, m.end()))
     names = ["assign", "access", "hex", "entropy"]
@@ -45,6 +45,7 @@ def sample():
         None, "", "plain words", "password: token: abcdefgh", "TOKEN='abcdef' é日本 Api_Key=\"" + key(30) + '"', "password = short", "secret=" + "a" * 5 + " secret=" + "b" * 6,
         "AKIA" + "Q7" * 8 + " AKIAAKIA" + "Z" * 13 + " AKIAshort", "f" * 23 + " " + "0f" * 12 + " " + key(40, "0123456789abcdef"), "x" + key(44), key(32, "0123456789ABCDEF"),
         "123e4567-e89b-12d3-a456-426614174000", "sha256-" + key(43) + "=", "EXAMPLE" + key(30), "0" * 40 + "a", "thequickbrownfoxjumpsoverthelazydog99", "/usr/local/lib/python3/dist-packages/foo",
+        "0x" + key(40, "0123456789ABCDEF"), "SAMPLE_NAME=" + key(40), "NAME=sample" + key(40) + "==", key(40) + "A" * 9 + key(40), key(40) + "A" * 12 + key(40),
         "token = \"" + key(40, "0123456789abcdef") + "\"" * 2, "apikey:" + key(8) + "\npasswd" + " " * 9 + "=" + key(8), " ".join(key(rng.randrange(20, 60)) for _ in range(40)), "password=" * 30,
         "a1" * 4000, key(3000), "".join(key(24, "0123456789abcdef") + "é " for _ in range(700)), "ſecret=abcdefg toKen=abcdefg",
     ]
@@ -60,6 +61,16 @@ def test_report_equals_brute_force(spark):
     assert secrets.report(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_what_is_suppressed(spark):
+    rng = random.Random(5)
+    key = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.sample(a, n) if n <= len(a) else rng.choices(a, k=n))
+    found = ["0x" + key(16, "0123456789ABCDEF") * 3, "SAMPLE_NAME=" + key(40), key(40) + "A" * 9 + key(40), "key=" + key(40) + "=="]
+    clean = ["NAME=sample" + key(40) + "==", "EXAMPLE" + key(40), key(40) + "A" * 12 + key(40), "sha256-" + key(43) + "="]
+    docs = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in enumerate(found + clean)], SCHEMA)
+    got = {r.id: r.n_entropy for r in secrets.report(docs).collect()}
+    assert [got[i] for i in range(8)] == [1] * 4 + [0] * 4
+
+
 def test_window_counts_equal_counting_anew(spark):
     rng = random.Random(2)
     alphabet = secrets.CLASSES[1][2]
