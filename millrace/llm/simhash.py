@@ -265,9 +265,9 @@ def copy_links(sets: DataFrame, similarity: float) -> DataFrame:
     then still in several components, all pairs across components are compared, by size and sketch within the join: what these exclude is
     not similar. So no pair of a crowded key is left out unless its members are linked already.
     """
-    tokens = sets.select("c", "n", F.explode("tokens").alias("token"))
+    tokens = sets.select("c", F.explode("tokens").alias("token"))
     common = written(tokens.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > 1), "shared")
-    firsts = tokens.join(common, "token").groupBy("c").agg(F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("all"))
+    firsts = tokens.join(common, "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("all")).join(sets.select("c", "n"), "c")
     # shingles that no other set holds come first of all
     spare = F.size("all") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
     keys = firsts.where(spare > 0).select("c", "n", F.explode(F.slice("all", 1, spare)).alias("k")).select("c", "n", F.col("k.token").alias("key"))
