@@ -80,8 +80,9 @@ class ByteEncoder:
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         if len(text) != (int(ends[-1]) if len(parts) else 0):  # a pattern that passes over something
             ends = np.array([m.end() for m in self.pattern.finditer(text)], np.int64)
-        known = self.cache.get
-        got = [known(p) or self.piece(p) for p in parts]
+        got = list(map(self.cache.get, parts))
+        if None in got:
+            got = [self.piece(p) if g is None else g for p, g in zip(parts, got, strict=True)]
         counts = np.fromiter(map(len, got), np.int64, len(got))
         return ends, counts, np.fromiter(chain.from_iterable(got), self.kind, int(counts.sum()))
 
