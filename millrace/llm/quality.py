@@ -88,12 +88,6 @@ def base_columns(text: Column) -> list[Column]:
     ]
 
 
-def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)`` for each row."""
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), *base_columns(F.col(f"`{text_col}`")))
-    return _with_verdict(own, ["id"])
-
-
 def _with_verdict(own: DataFrame, keep: list[str]) -> DataFrame:
     n, repeated = F.col("counts.n_words"), F.col("counts.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)

@@ -119,10 +119,6 @@ def _kind(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def _long_enough(spans: Column, least: int) -> Column:
-    return F.filter(spans, lambda s: s["end"] - s["start"] >= least)
-
-
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
     """Spans ``(start, end)`` of the three pattern kinds, in code points, end exclusive."""
 
