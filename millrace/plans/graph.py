@@ -89,18 +89,33 @@ class OptimizationReport:
         return f"{self.before} nodes became {self.after}: {self.folded} constants folded, {self.fused} activations fused, {self.eliminated} unused ones left out"
 
 
+#: Weights that are widened to 64 bits at a time.
+WIDENED = 1 << 20
+
+
+def _product(a: np.ndarray, b: np.ndarray, kind: type) -> np.ndarray:
+    if b.dtype == kind:
+        return a.astype(kind, copy=False) @ b
+    a, out = a.astype(kind, copy=False), np.empty((a.shape[0], b.shape[1]), kind)
+    step = max(1, WIDENED // max(1, b.shape[0]))
+    for k in range(0, b.shape[1], step):
+        out[:, k : k + step] = a @ b[:, k : k + step].astype(kind)
+    return out
+
+
 def gemm(a: np.ndarray, b: np.ndarray, bias: np.ndarray | None = None, trans_a: int = 0, trans_b: int = 0, alpha: float = 1.0, beta: float = 1.0) -> np.ndarray:
-    """Alpha * op(a) op(b) + beta * bias; the bias a value a column, a cell, or none."""
+    """Alpha * op(a) op(b) + beta * bias; the bias a value a column, a cell, or none. In 64 bits if a or b is, else in 32."""
     if a.ndim != 2 or b.ndim != 2:
         raise ValueError("gemm: a and b must be matrices")
     a, b = (a.T if trans_a else a), (b.T if trans_b else b)
     if a.shape[1] != b.shape[0]:
         raise ValueError(f"gemm: inner sizes {a.shape[1]} and {b.shape[0]} differ")
-    out = np.float32(alpha) * (a.astype(np.float32) @ b.astype(np.float32))
+    kind = np.float64 if np.float64 in (a.dtype, b.dtype) else np.float32
+    out = kind(alpha) * _product(a, b, kind)
     if bias is not None and bias.size:
         if bias.size not in (out.shape[1], out.size):
             raise ValueError("gemm: the bias fits neither a row nor the result")
-        out += np.float32(beta) * (bias.reshape(1, -1) if bias.size == out.shape[1] else bias.reshape(out.shape))
+        out += kind(beta) * (bias.reshape(1, -1) if bias.size == out.shape[1] else bias.reshape(out.shape))
     return out
 
 

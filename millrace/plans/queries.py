@@ -387,7 +387,7 @@ def gemm_relational(spark, sf_dir):
 
 @registered(f"SELECT vec_id AS sample_id, list_transform({SQL_GEMM}, lambda v: floor(v * 100 + 0.5)::BIGINT) AS y FROM embeddings")
 def gemm_arrow(spark, sf_dir):
-    """T2 by Arrow batches and numpy, in 32-bit floats: two decimals."""
+    """T2 by Arrow batches and numpy, in 64 bits as the SQL."""
     import numpy as np
 
     own, w, b = _gemm_args(spark, sf_dir)

@@ -126,10 +126,10 @@ def relational(samples: DataFrame, model: g.Model, id_col: str, x_col: str) -> D
     return tables[result].groupBy(F.col("i").alias("id")).agg(logits)
 
 
-def run_batch(model: g.Model, batch: np.ndarray, seen: Callable[[g.Node, float], None] | None = None) -> np.ndarray:
-    """The model on a batch (rows, features), by whole-tensor operators; ``seen`` gets each node's milliseconds."""
+def run_batch(model: g.Model, batch: np.ndarray, seen: Callable[[g.Node, float], None] | None = None, kind: type = np.float32) -> np.ndarray:
+    """The model on a batch (rows, features), by whole-tensor operators in numbers of this kind; ``seen`` gets each node's milliseconds."""
     source, result = _input(model)
-    held = {**model.tensors, source: batch.astype(np.float32, copy=False)}
+    held = {**model.tensors, source: batch.astype(kind, copy=False)}
     for node in _live(model):
         began = time.perf_counter()
         held[node.outputs[0]] = g.compute(node, [held[i] for i in node.inputs])
@@ -152,7 +152,7 @@ def _matrix(x: pa.Array) -> np.ndarray:
     lengths = np.diff(x.offsets.to_numpy())
     if (lengths != lengths[0]).any():
         raise ValueError("samples have different numbers of features")
-    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(x), -1)
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
 
 def profile(samples: DataFrame, model: g.Model, batch_size: int, x_col: str = "x") -> DataFrame:
@@ -195,12 +195,13 @@ def vectorised(samples: DataFrame, model: g.Model, id_col: str, x_col: str) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = run_batch(shared.value, _matrix(batch.column(1)))
+            out = run_batch(shared.value, _matrix(batch.column(1)), kind=np.float64)
             offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel().astype(np.float64)))], ["id", "logits"])
 
     kind = samples.schema[id_col].dataType.simpleString()
-    return samples.select(F.col(id_col).alias("id"), F.col(x_col).cast("array<float>").alias("x")).mapInArrow(run, f"id {kind}, logits array<double>")
+    sent = "array<float>" if samples.schema[x_col].dataType.simpleString() == "array<float>" else "array<double>"
+    return samples.select(F.col(id_col).alias("id"), F.col(x_col).cast(sent).alias("x")).mapInArrow(run, f"id {kind}, logits array<double>")
 
 
 STRATEGIES: dict[str, Strategy] = {"native": native, "relational": relational, "vectorised": vectorised}
@@ -209,7 +210,7 @@ STRATEGIES: dict[str, Strategy] = {"native": native, "relational": relational, "
 def score(samples: DataFrame, model: g.Model, id_col: str = "sample_id", x_col: str = "x", strategy: str = "auto", optimize: bool = True) -> DataFrame:
     """``(id, logits, prediction)``. ``optimize`` rewrites the graph first; the results agree either way.
 
-    ``auto`` is ``vectorised``, in 32-bit numbers as the models have, at every size of a model; ``native`` and ``relational`` compute in 64 bits.
+    ``auto`` is ``vectorised`` at every size of a model. All strategies compute in 64 bits, whatever the model's numbers have.
     """
     g.check(model)
     if optimize:

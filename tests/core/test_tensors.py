@@ -43,6 +43,36 @@ def test_strategies_agree_on_random_layers(spark):
     assert np.abs(one_by_one - want).max() < 1e-4
 
 
+def test_gemm_arrow_equals_sql_at_the_edge_of_its_rounding(spark, tmp_path):
+    """Vectors whose first output is just below the half of a whole hundredth, or just at it: 32 bits can't tell them apart."""
+    import duckdb
+
+    import __spark_entry__
+
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (400, 64)).astype(np.float32)
+    w = np.array([((k * 3) % 13 - 6) / 8 for k in range(64)])
+    for row in x:
+        for k in (1, 3, 0):  # the last of them has the smallest step
+            rest = 0.5 * float(row.astype(float) @ w) - 0.5 * float(row[k]) * w[k]
+            goal = (np.floor(100 * (rest + 0.5 * float(row[k]) * w[k])) + 0.5) / 100
+            row[k] = (goal - rest) / (0.5 * w[k])
+    table = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    table.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {i: list(y) for i, y in con.execute(__spark_entry__.oracle_sql()["gemm_arrow"]).fetchall()}
+    assert {r.sample_id: r.y for r in __spark_entry__.queries()["gemm_arrow"](spark, str(tmp_path)).collect()} == want
+
+
+def test_weights_are_widened_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.uniform(-1, 1, (5, 7)), rng.uniform(-1, 1, (7, 11)).astype(np.float32)
+    for size in (1, 21, 1 << 20):
+        monkeypatch.setattr(g, "WIDENED", size)
+        assert np.abs(g.gemm(a, b) - a @ b.astype(float)).max() < 1e-15
+
+
 def test_operators(spark):
     assert g.gemm(np.array([[1.0, 2], [3, 4]]), np.array([[5.0, 6], [7, 8]]), np.array([1.0, 1])).tolist() == [[20, 23], [44, 51]]
     assert g.gemm(np.array([[1.0, 2]]), np.array([[1.0, 0], [0, 1], [1, 1]]), np.zeros(3), trans_b=1).tolist() == [[1, 2, 3]]
