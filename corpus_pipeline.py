@@ -29,7 +29,7 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays.
+    """Of each group of near duplicates, by SimHash links and an exact join across their groups, the document with the smallest id stays.
 
     Null, empty and blank texts are one group; rows with a null id stay.
     """

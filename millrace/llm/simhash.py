@@ -150,9 +150,11 @@ def hex16(fp: Column) -> Column:
 
 # --- near copies by similarity ---
 #
-# An exact join on the Jaccard similarity of shingle sets, by prefixes (Chaudhuri et al. 2006; Bayardo et al. 2007): of two sets that are
-# similar enough, each holds at most a known number of shingles that the other lacks. So in any order of all shingles their first ones, one
-# more than that number, meet; and of more first ones, more meet. No step leaves out a pair that is similar enough.
+# SimHash comes first: the links that multi-index hashing finds between the fingerprints of all texts, each confirmed on the complete shingle
+# sets. Fingerprints of similar sets may differ in more bits than an index finds. So the sets in different groups of these links then take part
+# in an exact join on the Jaccard similarity, by prefixes (Chaudhuri et al. 2006; Bayardo et al. 2007): of two sets that are similar enough,
+# each holds at most a known number of shingles that the other lacks. So in any order of all shingles their first ones, one more than that
+# number, meet; and of more first ones, more meet. No step leaves out a pair that is similar enough.
 
 #: All pairs of a key's members are compared if there are so many; else with two of them first.
 CROWD = 8
@@ -167,9 +169,9 @@ def least_common(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def shingle_set(text: bytes, words: int) -> tuple[int, np.ndarray]:
+def shingle_set(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     """The distinct shingle hashes in order, and a signed hash of them all."""
-    found = np.unique(shingle_hashes(text, words))
+    found = np.unique(hashes)
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63), found
 
 
@@ -180,14 +182,16 @@ def parity_sketch(found: np.ndarray) -> np.ndarray:
 
 
 def _copy_marks(words: int, similarity: float):
-    """``(id, h, c, n, keys)``: the least hashes, of which any similar set has ``n / 20 + 1`` at least."""
+    """``(id, h, c, n, fp, keys)``: the SimHash fingerprint, and the least hashes, of which any similar set has ``n / 20 + 1`` at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(2)]
+            hashes = [shingle_hashes(t.as_py() or b"", words) for t in batch.column(2)]
+            sets = [shingle_set(x) for x in hashes]
             keys = [f[: len(f) - least_common(len(f), similarity) + 1 + len(f) // 20].view(np.int64) for _, f in sets]
-            columns = [pa.array([c for c, _ in sets], pa.int64()), pa.array([len(f) for _, f in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "h", "c", "n", "keys"])
+            numbers = [pa.array(x, pa.int64()) for x in ([c for c, _ in sets], [len(f) for _, f in sets], [fingerprint(x) for x in hashes])]
+            columns = [batch.column(0), batch.column(1), *numbers, pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "c", "n", "fp", "keys"])
 
     return run
 
@@ -195,7 +199,7 @@ def _copy_marks(words: int, similarity: float):
 def _copy_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(0)]
+            sets = [shingle_set(shingle_hashes(t.as_py() or b"", words)) for t in batch.column(0)]
             lists = [pa.array([x.view(np.int64) for x in col], pa.list_(pa.int64())) for col in ([f for _, f in sets], [parity_sketch(f) for _, f in sets])]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.int64()), pa.array([len(f) for _, f in sets], pa.int64()), *lists], ["c", "n", "tokens", "sketch"])
 
@@ -223,20 +227,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, sifted: bool
     return written(both.where(common * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - 1e-6).select("a", "b"), "links")
 
 
+def print_links(prints: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets whose SimHash fingerprints are linked, of distinct rows ``(fp, c)``.
+
+    Of the sets of one fingerprint each meets the smallest; the smallest ones of linked fingerprints meet.
+    """
+    heads = written(prints.groupBy("fp").agg(F.min("c").alias("head")), "heads")
+    same = prints.join(heads, "fp").select(F.col("head").alias("a"), F.col("c").alias("b"))
+    found = written(links(heads.select("fp")), "near")
+    left, right = (heads.select(F.col("fp").alias(x), F.col("head").alias(y)) for x, y in (("a", "p"), ("b", "q")))
+    other = found.join(left, "a").join(right, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return same.unionByName(other).where(F.col("a") != F.col("b")).distinct()
+
+
 def _all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs within keys of at most CROWD members."""
-    sets = members.groupBy("key").agg(F.array_sort(F.collect_set("c")).alias("all"))
+    """Pairs within keys of at most CROWD members, whose roots differ."""
+    sets = members.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("c", "root"))).alias("all"))
     pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, CROWD), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return sets.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    return sets.select(F.explode(pairs).alias("p")).where("p.a.root <> p.b.root").select(F.col("p.a.c").alias("a"), F.col("p.b.c").alias("b")).distinct()
 
 
 def _stars(crowd: DataFrame) -> DataFrame:
-    """Pairs of members of crowded keys with two of each key: that of the most neighbours, and the smallest set. A set takes part by a few of its keys."""
-    own = crowd.groupBy("c").agg(F.any_value("n").alias("n"), F.sum("held").alias("deg"), F.array_sort(F.collect_list(F.struct((-F.col("held")).alias("less"), "key"))).alias("all"))
-    own = written(own.select("c", "n", "deg", F.explode(F.slice("all", 1, STAR_KEYS)).alias("k")).select("c", "n", "deg", F.col("k.key").alias("key")), "crowd")
-    heads = own.groupBy("key").agg(F.max(F.struct("deg", "c")).alias("most"), F.min(F.struct("n", "c")).alias("least"))
-    heads = written(heads.select("key", F.explode(F.array_distinct(F.array("most.c", "least.c"))).alias("head")), "heads")
-    both = own.select("key", "c").join(heads, "key").where(F.col("c") != F.col("head"))
+    """Pairs of members of crowded keys with two of each key: that of the most neighbours, and the smallest set; their roots differ. A set takes part by a few of its keys."""
+    own = crowd.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("root").alias("root"), F.sum("held").alias("deg"), F.array_sort(F.collect_list(F.struct((-F.col("held")).alias("less"), "key"))).alias("all"))
+    own = written(own.select("c", "n", "root", "deg", F.explode(F.slice("all", 1, STAR_KEYS)).alias("k")).select("c", "n", "root", "deg", F.col("k.key").alias("key")), "crowd")
+    heads = own.groupBy("key").agg(F.max(F.struct("deg", "c", "root")).alias("most"), F.min(F.struct("n", "c", "root")).alias("least"))
+    ends = [F.struct(F.col(f"{x}.c").alias("c"), F.col(f"{x}.root").alias("root")) for x in ("most", "least")]
+    heads = heads.select("key", F.explode(F.array_distinct(F.array(*ends))).alias("head"))
+    heads = written(heads.select("key", F.col("head.c").alias("head"), F.col("head.root").alias("top")), "heads")
+    both = own.select("key", "c", "root").join(heads, "key").where(F.col("root") != F.col("top"))
     return both.select(F.least("head", "c").alias("a"), F.greatest("head", "c").alias("b")).distinct()
 
 
@@ -257,25 +276,27 @@ def _across(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity: flo
     return left.join(right, ["key", "size"]).where(ordered & (F.col("ra") != F.col("rb")) & _may_be_similar(similarity)).select("a", "b").distinct()
 
 
-def copy_links(sets: DataFrame, similarity: float) -> DataFrame:
+def copy_links(sets: DataFrame, similarity: float, near: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between the sets ``(c, n, tokens, sketch)``: all are similar enough, and they join all that are.
 
-    Keys are each set's first shingles, rare ones first. All pairs of a key's members are compared if there are CROWD at most. Members
+    ``near`` has the links of SimHash, confirmed; only sets that they leave in different components are compared here. Keys are each set's first shingles, rare ones first. All pairs of a key's members are compared if there are CROWD at most. Members
     of a crowded key are compared with two of them; that puts a large group of copies into one component. In the keys whose members are
     then still in several components, all pairs across components are compared, by size and sketch within the join: what these exclude is
     not similar. So no pair of a crowded key is left out unless its members are linked already.
     """
+    tied = star_components(near, "a", "b").select(F.col("node").alias("c"), "root")
     tokens = sets.select("c", F.explode("tokens").alias("token"))
     common = written(tokens.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > 1), "shared")
     firsts = tokens.join(common, "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("all")).join(sets.select("c", "n"), "c")
+    firsts = firsts.join(tied, "c", "left").select("c", "n", "all", F.coalesce("root", "c").alias("root"))
     # shingles that no other set holds come first of all
     spare = F.size("all") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
-    keys = firsts.where(spare > 0).select("c", "n", F.explode(F.slice("all", 1, spare)).alias("k")).select("c", "n", F.col("k.token").alias("key"))
+    keys = firsts.where(spare > 0).select("c", "n", "root", F.explode(F.slice("all", 1, spare)).alias("k")).select("c", "n", "root", F.col("k.token").alias("key"))
     keys = written(keys, "keys")
     counts = written(keys.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > 1), "counts")
-    members = written(keys.join(counts, "key").select("key", "c", "n", "held"), "members")
+    members = written(keys.join(counts, "key").select("key", "c", "n", "root", "held"), "members")
     crowd = members.where(F.col("held") > CROWD)
-    links = _verified(_all_pairs(members.where(F.col("held") <= CROWD)).unionByName(_stars(crowd)).distinct(), sets, similarity)
+    links = near.unionByName(_verified(_all_pairs(members.where(F.col("held") <= CROWD)).unionByName(_stars(crowd)).distinct(), sets, similarity))
     if crowd.isEmpty():
         return links
     return links.unionByName(_verified(_across(crowd.select("key", "c"), star_components(links, "a", "b"), sets, similarity), sets, similarity, sifted=True))
@@ -296,18 +317,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id, component_id)`` for each row of ``docs``: the smallest non-null id of its group of near copies.
 
     Texts are near copies if the Jaccard similarity of their sets of ``words``-word shingles (as 64-bit hashes) is ``similarity`` or more;
-    groups are what links reach. The search is exact. Null, empty and blank texts are near copies of one another. Repeated rows and
+    groups are what links reach. SimHash links come first and are confirmed; an exact join finds those that they lack. Null, empty and blank texts are near copies of one another. Repeated rows and
     ids and null ids come out as they went in; an empty table gives an empty table. Other columns are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("binary")
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
-    marks = written(own.mapInArrow(_copy_marks(words, similarity), f"id {kind}, h bigint, c bigint, n bigint, keys array<bigint>"), "marks")
+    marks = written(own.mapInArrow(_copy_marks(words, similarity), f"id {kind}, h bigint, c bigint, n bigint, fp bigint, keys array<bigint>"), "marks")
+    prints = written(marks.select("fp", "c").distinct(), "prints")
     alive = own.select("t", "h").join(_alive(marks), "h", "left_semi").select("t")
     sets = alive.mapInArrow(_copy_sets(words), "c bigint, n bigint, tokens array<bigint>, sketch array<bigint>")
     sets = written(sets.groupBy("c").agg(*[F.any_value(x).alias(x) for x in ("n", "tokens", "sketch")]), "sets")
-    roots = star_components(copy_links(sets, similarity), "a", "b")
+    near = _verified(print_links(prints), sets, similarity)
+    roots = star_components(copy_links(sets, similarity, near), "a", "b")
     classes = written(marks.groupBy("c").agg(F.min("id").alias("least")), "classes")
     rooted = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     rooted = written(rooted, "rooted")
@@ -317,7 +340,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without those near copies whose id is not their group's smallest; rows with a null id stay.
+    """``docs`` without those near copies, by SimHash and an exact check, whose id is not their group's smallest; rows with a null id stay.
 
     Null, empty and blank texts are one group, of which one row stays. Repeated rows of an id that stays all stay. An empty table
     gives an empty table. Columns of any name are carried.

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from millrace.llm import simhash
+from tests.llm.test_simhash import brute_fp
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -136,3 +137,48 @@ def test_a_group_of_over_a_thousand(spark):
     sizes = sorted(Counter(want.values()).values())
     assert sizes[-1] > 1000
     assert grouped(spark, rows) == want
+
+
+def same_prints(size=40):
+    """Texts that one shingle, many times repeated, gives one fingerprint; some are copies, most have hardly a shingle in common."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(size):
+        own = [f"z{i}x{k}" for k in range(rng.randrange(10, 40))]
+        rows.append((i, " ".join(["same"] * 500 + own)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(["same"] * 400 + own + ["end"])))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [1, 8])
+def test_near_copies_go_through_simhash(spark, monkeypatch, crowd):
+    """The index gets the fingerprint of every text; its links are confirmed, and what they join the exact join leaves alone."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rows = same_prints() + around_the_threshold(20) + family(60)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)] + [(5000, None), (5001, " \n")]
+    seen, compared, links, verified = [], [], simhash.links, simhash._verified
+
+    def linked(fps):
+        seen.extend(r.fp & (2**64 - 1) for r in fps.collect())
+        return links(fps)
+
+    def confirmed(pairs, sets, similarity, sifted=False):
+        found = verified(pairs, sets, similarity, sifted)
+        compared.append(({tuple(r) for r in pairs.collect()}, {tuple(r) for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(simhash, "links", linked)
+    monkeypatch.setattr(simhash, "_verified", confirmed)
+    want = jaccard_groups(rows)
+    assert grouped(spark, rows) == want
+    assert sorted(seen) == sorted({brute_fp(t, 5) for _, t in rows})
+    candidates, near = compared[0]
+    assert 10 < len(near) < len(candidates) - 10
+    root = {}
+    top = lambda i: top(root[i]) if i in root else i
+    for a, b in near:
+        if top(a) != top(b):
+            root[top(b)] = top(a)
+    assert all(top(a) != top(b) for pairs, _ in compared[1:] for a, b in pairs)
+    assert any(found for _, found in compared[1:])  # links that SimHash lacks
